@@ -96,13 +96,23 @@ class Models:
     def alert_summary(self) -> DataFrame:
         return marts.alert_summary(self.alert_impacts)
 
-    def materialize(self, root: str, names=("scheduled_vs_actual",)) -> "Models":
+    CLUSTER = {"scheduled_vs_actual": ("route_id", "stop_id", "direction_id"),
+               "weather_transit": ("route_id", "stop_id")}
+
+    def materialize(self, root: str, names=("scheduled_vs_actual",),
+                    partition_by_date: bool = False) -> "Models":
         """Write the named models under ``root`` and read them back, cutting
-        lineage (the written table is the recovery point if executors die)."""
+        lineage (the written table is the recovery point if executors die).
+
+        Rows are clustered by the model's cluster keys; ``partition_by_date``
+        adds a ``service_date`` directory level (use it for daily incremental
+        runs, not for multi-year backfills, which would scatter tiny files).
+        """
         from transitlake.operators.tables import write_model
         for name in names:
             df = getattr(self, name)
             path = f"{root.rstrip('/')}/{name}"
-            write_model(df, path, partition_by=("service_date",) if "service_date" in df.columns else ())
+            part = ("service_date",) if partition_by_date and "service_date" in df.columns else ()
+            write_model(df, path, partition_by=part, cluster_by=self.CLUSTER.get(name, ()))
             self.__dict__[name] = self.spark.read.parquet(path)
         return self

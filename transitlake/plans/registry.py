@@ -22,6 +22,7 @@ SparkJob = Callable[[SparkSession, str], DataFrame]
 
 _JOBS: dict[str, SparkJob] = {}
 _SQL: dict[str, str] = {}
+_MODEL_FNS: dict[str, Callable] = {}
 
 
 def utc_wallclock(df: DataFrame) -> DataFrame:
@@ -43,6 +44,7 @@ def register(key: str, sql: str | None = None, models_sql: bool = True):
         job.__name__ = key
         job.__doc__ = fn.__doc__
         _JOBS[key] = job
+        _MODEL_FNS[key] = fn
         if sql is not None:
             _SQL[key] = with_models(sql) if models_sql else sql
         return fn
@@ -72,6 +74,13 @@ def jobs() -> dict[str, SparkJob]:
     return dict(_JOBS)
 
 
+def model_functions() -> dict[str, Callable]:
+    """``Models -> DataFrame`` form of the model-based jobs (reuse one
+    ``Models`` — e.g. over landed tables — across many queries)."""
+    _load_all()
+    return dict(_MODEL_FNS)
+
+
 def oracle() -> dict[str, str]:
     _load_all()
     return dict(_SQL)

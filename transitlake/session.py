@@ -39,12 +39,10 @@ def checkpoint_dir(spark: SparkSession) -> str:
     is unset (local tests) a private scratch folder is created and
     registered.
     """
-    d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
+        # Unset only in ad-hoc local sessions: a private scratch folder.
         d = tempfile.mkdtemp(prefix="transitlake-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)
     return d
@@ -61,6 +59,7 @@ def local_session(app: str = "transitlake", cores: int | str = "*",
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.driver.memory", os.environ.get("TRANSITLAKE_DRIVER_MEM", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="transitlake-ckpt-"))
     )
     for k, v in _REQUIRED_CONF.items():
         builder = builder.config(k, v)

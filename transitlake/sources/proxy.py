@@ -74,6 +74,10 @@ class DriverTables:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
 
+ENTITIES = ("routes", "stops", "trips", "schedules", "predictions", "vehicles", "alerts",
+            "weather")
+
+
 class RawTables:
     """The eight raw entities plus the mode seed, derived from driver tables."""
 
@@ -81,6 +85,34 @@ class RawTables:
         self.driver = DriverTables(spark, sf_dir)
         self.spark = self.driver.spark
 
+    @classmethod
+    def landed(cls, spark: SparkSession, raw_dir: str) -> "LandedRawTables":
+        return LandedRawTables(spark, raw_dir)
+
+    def land(self, out_dir: str, files_per_fact: int = 0) -> str:
+        """Write every raw entity as Parquet under ``out_dir/<entity>``.
+
+        Facts are clustered by trip/vehicle/alert id into ``files_per_fact``
+        files (default: the session's shuffle partitions), which also sorts
+        rows within files by that id so row-group min/max can skip.
+        """
+        from pyspark import StorageLevel
+        n = files_per_fact or int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # The visit join feeds schedules, predictions and weather; events
+        # feed vehicles and alerts: keep them for the duration of the landing.
+        shared = [self._visits.persist(StorageLevel.MEMORY_AND_DISK),
+                  self._events.persist(StorageLevel.MEMORY_AND_DISK)]
+        cluster = {"schedules": "trip_id", "predictions": "trip_id", "vehicles": "vehicle_id",
+                   "alerts": "alert_id", "trips": "trip_id"}
+        for name in ENTITIES:
+            df = getattr(self, name)
+            if name in cluster:
+                df = df.repartition(n, cluster[name]).sortWithinPartitions(cluster[name])
+            df.write.mode("overwrite").parquet(f"{out_dir.rstrip('/')}/{name}")
+        for df in shared:
+            df.unpersist()
+        return out_dir
+
     # -- dimensions -------------------------------------------------------
     @cached_property
     def routes(self) -> DataFrame:
@@ -320,3 +352,13 @@ class RawTables:
         from transitlake.sources.schemas import entity
         entity(name)
         return getattr(self, name)
+
+
+class LandedRawTables(RawTables):
+    """Raw entities read back from a landed Parquet tree (``land``'s layout)."""
+
+    def __init__(self, spark: SparkSession, raw_dir: str):
+        self.spark = ensure_conf(spark)
+        self.raw_dir = raw_dir.rstrip("/")
+        for name in ENTITIES:
+            self.__dict__[name] = self.spark.read.parquet(f"{self.raw_dir}/{name}")
