@@ -29,3 +29,4 @@ register("f2_stop_performance", "SELECT * FROM mart_stop_performance")(
 register("f3_delay_analysis", "SELECT * FROM mart_delay_analysis")(lambda m: m.delay_analysis)
 register("f4_alert_summary", "SELECT * FROM mart_alert_summary")(lambda m: m.alert_summary)
 from transitlake.plans import catalog_queries  # noqa: F401,E402
+from transitlake.plans import catalog_ops  # noqa: F401,E402

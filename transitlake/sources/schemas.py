@@ -95,7 +95,7 @@ REGISTRY = {
     "trips": Entity("trips", TRIPS, ("trip_id",), "replace", "dimension", 1),
     "schedules": Entity("schedules", SCHEDULES,
                         ("schedule_id", "trip_id", "stop_id", "departure_time"),
-                        "append", "fact", 1),
+                        "replace", "fact", 1),
     "predictions": Entity("predictions", PREDICTIONS, ("prediction_id", "extracted_at"),
                           "append", "fact", 1),
     "vehicles": Entity("vehicles", VEHICLES, ("vehicle_id", "extracted_at"),
@@ -104,6 +104,9 @@ REGISTRY = {
     "weather": Entity("weather", WEATHER, ("timestamp",), "replace", "dimension", 1),
 }
 
+# Key columns used to de-duplicate append-mode (snapshot) tables.
+DEDUPE_KEYS = {name: e.keys for name, e in REGISTRY.items() if e.mode == "append"}
+
 
 def entity(name: str) -> Entity:
     """Registry lookup; unknown names raise ``ValueError('Unknown entity …')``."""
