@@ -139,7 +139,7 @@ def readable(spark: SparkSession, entity: str, path: str) -> DataFrame:
 
 def freshness(tables: dict[str, DataFrame], now) -> DataFrame:
     """Age of the newest ``extracted_at`` (or ``timestamp``) vs. the limit."""
-    now_c = lit_ts(now)
+    now_c = now if isinstance(now, Column) else lit_ts(now)
     out = None
     for name, df in tables.items():
         col = "extracted_at" if "extracted_at" in df.columns else "timestamp"

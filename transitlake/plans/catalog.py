@@ -30,3 +30,4 @@ register("f3_delay_analysis", "SELECT * FROM mart_delay_analysis")(lambda m: m.d
 register("f4_alert_summary", "SELECT * FROM mart_alert_summary")(lambda m: m.alert_summary)
 from transitlake.plans import catalog_queries  # noqa: F401,E402
 from transitlake.plans import catalog_ops  # noqa: F401,E402
+from transitlake.plans import catalog_streams  # noqa: F401,E402

@@ -48,21 +48,27 @@ PREDICTION_COLS = ["prediction_id", "predicted_arrival", "arrival_uncertainty",
                    "update_type", "route_id", "stop_id", "trip_id", "vehicle_id", "extracted_at"]
 
 
-def stg_predictions(raw: DataFrame) -> DataFrame:
-    """Latest prediction per (trip_id, stop_id) by ``extracted_at``.
+PREDICTION_ORDER = ["extracted_at", "prediction_id", "predicted_arrival", "predicted_departure"]
 
-    Ties on ``extracted_at`` are broken by prediction id, then predicted
-    arrival and departure (descending), so the survivor is deterministic.
-    """
-    typed = raw.filter(F.col("prediction_id").isNotNull()).select(
+
+def typed_predictions(raw: DataFrame) -> DataFrame:
+    """Typed prediction snapshots (no de-duplication); batch or stream."""
+    return raw.filter(F.col("prediction_id").isNotNull()).select(
         "prediction_id", to_ts("arrival_time").alias("predicted_arrival"),
         "arrival_uncertainty", to_ts("departure_time").alias("predicted_departure"),
         "departure_uncertainty", "direction_id", "stop_sequence", "schedule_relationship",
         F.col("status").cast("string").alias("status"), "revenue", "last_trip", "update_type",
         "route_id", "stop_id", "trip_id", "vehicle_id", to_ts("extracted_at").alias("extracted_at"))
-    return latest_per_key(typed, ["trip_id", "stop_id"],
-                          ["extracted_at", "prediction_id", "predicted_arrival",
-                           "predicted_departure"]).select(*PREDICTION_COLS)
+
+
+def stg_predictions(raw: DataFrame) -> DataFrame:
+    """Latest prediction per (trip_id, stop_id) by ``extracted_at``.
+
+    Ties on ``extracted_at`` are broken by prediction id, then predicted
+    arrival and departure (descending), so the survivor is deterministic.
+    """
+    return latest_per_key(typed_predictions(raw), ["trip_id", "stop_id"],
+                          PREDICTION_ORDER).select(*PREDICTION_COLS)
 
 
 VEHICLE_COLS = ["vehicle_id", "label", "latitude", "longitude", "bearing", "speed",
@@ -71,13 +77,19 @@ VEHICLE_COLS = ["vehicle_id", "label", "latitude", "longitude", "bearing", "spee
                 "route_id", "stop_id", "trip_id", "extracted_at"]
 
 
-def stg_vehicles(raw: DataFrame) -> DataFrame:
-    """One row per (vehicle_id, extracted_at)."""
-    typed = raw.filter(F.col("vehicle_id").isNotNull()).select(
+def stg_vehicles_stream(raw: DataFrame) -> DataFrame:
+    """Typed vehicle snapshots without the de-dup (for streams, where the
+    exactly-once raw append already guarantees one row per key)."""
+    return raw.filter(F.col("vehicle_id").isNotNull()).select(
         "vehicle_id", "label", "latitude", "longitude", "bearing", "speed", "current_status",
         "current_stop_sequence", "direction_id", "occupancy_status", "carriage_count",
         "avg_occupancy_pct", "revenue", to_ts("updated_at").alias("vehicle_updated_at"),
         "route_id", "stop_id", "trip_id", to_ts("extracted_at").alias("extracted_at"))
+
+
+def stg_vehicles(raw: DataFrame) -> DataFrame:
+    """One row per (vehicle_id, extracted_at)."""
+    typed = stg_vehicles_stream(raw)
     return latest_per_key(typed, ["vehicle_id", "extracted_at"],
                           ["vehicle_updated_at", "trip_id", "stop_id", "route_id",
                            "latitude", "longitude"]).select(*VEHICLE_COLS)
