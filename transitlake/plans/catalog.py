@@ -31,3 +31,4 @@ register("f4_alert_summary", "SELECT * FROM mart_alert_summary")(lambda m: m.ale
 from transitlake.plans import catalog_queries  # noqa: F401,E402
 from transitlake.plans import catalog_ops  # noqa: F401,E402
 from transitlake.plans import catalog_streams  # noqa: F401,E402
+from transitlake.plans import catalog_sources  # noqa: F401,E402
