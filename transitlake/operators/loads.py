@@ -245,8 +245,8 @@ class RawStore:
         ISO text) and written under ``dt=`` (dimensions) or ``dt=/hr=``
         (facts); dimension partitions are replaced dynamically."""
         e = entity(name)
-        ts = extracted_at or time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime())
-        if "extracted_at" not in df.columns:
+        if extracted_at is not None or "extracted_at" not in df.columns:
+            ts = extracted_at or time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime())
             df = df.withColumn("extracted_at", F.lit(ts))
         df = partition_columns(df, "extracted_at", hourly=e.kind == "fact")
         path = f"{landing_root.rstrip('/')}/{e.name}"
