@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 __all__ = [
     "round_half_away", "service_date", "service_seconds", "seconds_between",
     "day_of_week", "is_weekend", "local_time", "hour_of", "nullif_empty",
-    "safe_divide", "pct", "to_ts", "epoch_seconds", "lit_ts",
+    "safe_divide", "pct", "to_ts", "epoch_seconds", "lit_ts", "avg_fixed",
 ]
 
 
@@ -32,6 +32,15 @@ def round_half_away(x, digits: int = 0) -> Column:
     return (F.signum(x) * F.floor(F.abs(x) * F.lit(p) + F.lit(0.5)) / F.lit(p)) + F.lit(0.0)
 
 
+def avg_fixed(x, digits: int) -> Column:
+    """Average of values that carry at most ``digits`` decimals, summed as
+    exact integers (units of 10^-digits) so the result does not depend on
+    summation order — any engine, any partitioning gives the same double."""
+    x = _c(x)
+    p = float(10 ** digits)
+    return F.avg(round_half_away(x * F.lit(p), 0)) / F.lit(p)
+
+
 def to_ts(x) -> Column:
     """ISO-8601 text (with or without offset), NTZ or LTZ → instant."""
     return _c(x).cast("timestamp")

@@ -24,5 +24,7 @@ def route_color(col: str = "color") -> Column:
     return F.coalesce(F.col(col), F.lit(DEFAULT_COLOR))
 
 
-def top(df: DataFrame, n: int, *order: Column) -> DataFrame:
-    return df.orderBy(*order).limit(int(n))
+def top(df: DataFrame, n: int | None, *order: Column) -> DataFrame:
+    """Top-``n`` by ``order``; ``n=None`` keeps every row (ordered)."""
+    df = df.orderBy(*order)
+    return df if n is None else df.limit(int(n))

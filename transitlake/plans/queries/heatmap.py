@@ -5,16 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.functions.core import hour_of, round_half_away as rha
+from transitlake.functions.core import avg_fixed, hour_of, round_half_away as rha
 from transitlake.functions.labels import DAY_NAMES, day_name
 from transitlake.plans.queries.common import minutes, opt_eq, top
 
 
 def _mart_measures():
-    return [minutes(F.avg("avg_delay_seconds")).alias("avg_delay_minutes"),
-            minutes(F.avg("median_delay_seconds")).alias("median_delay_minutes"),
+    return [minutes(avg_fixed("avg_delay_seconds", 1)).alias("avg_delay_minutes"),
+            minutes(avg_fixed("median_delay_seconds", 1)).alias("median_delay_minutes"),
             F.sum("prediction_count").alias("trip_count"),
-            rha(F.avg("late_pct"), 1).alias("pct_late")]
+            rha(avg_fixed("late_pct", 2), 1).alias("pct_late")]
 
 
 def cell_history(m, route_id: str, hour: int, days: int = 30) -> DataFrame:

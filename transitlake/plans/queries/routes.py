@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.functions.core import round_half_away as rha
+from transitlake.functions.core import avg_fixed, round_half_away as rha
 from transitlake.plans.queries.common import minutes, top
 
 MODE_ALIASES = {"subway": "heavy_rail"}
@@ -58,10 +58,10 @@ def detail(m, route_id: str) -> DataFrame:
 def hourly(m, route_id: str) -> DataFrame:
     d = m.delay_analysis.filter(F.col("route_id") == route_id)
     return (d.groupBy(F.col("hour_of_day").alias("hour"), "time_period")
-            .agg(minutes(F.avg("avg_delay_seconds")).alias("avg_delay_minutes"),
+            .agg(minutes(avg_fixed("avg_delay_seconds", 1)).alias("avg_delay_minutes"),
                  F.sum("prediction_count").alias("trip_count"),
-                 rha(F.avg("on_time_pct"), 1).alias("on_time_pct"),
-                 rha(F.avg("late_pct"), 1).alias("pct_late")))
+                 rha(avg_fixed("on_time_pct", 2), 1).alias("on_time_pct"),
+                 rha(avg_fixed("late_pct", 2), 1).alias("pct_late")))
 
 
 def reliability_list(m) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.functions.core import day_of_week, hour_of, round_half_away as rha
+from transitlake.functions.core import avg_fixed, day_of_week, hour_of, round_half_away as rha
 from transitlake.functions.labels import day_name
 from transitlake.plans.queries.common import minutes, opt_eq, top
 
@@ -31,12 +31,12 @@ def scatter_day_of_week(m, route_filter: str = "all", sample_size: int = 500,
 
 
 def _measures(on_time: bool = False):
-    cols = [minutes(F.avg("avg_delay_seconds")).alias("avg_delay_minutes"),
-            minutes(F.avg("median_delay_seconds")).alias("median_delay_minutes"),
+    cols = [minutes(avg_fixed("avg_delay_seconds", 1)).alias("avg_delay_minutes"),
+            minutes(avg_fixed("median_delay_seconds", 1)).alias("median_delay_minutes"),
             F.sum("prediction_count").alias("trip_count")]
     if on_time:
-        cols.append(rha(F.avg("on_time_pct"), 1).alias("on_time_pct"))
-    cols.append(rha(F.avg("late_pct"), 1).alias("pct_late"))
+        cols.append(rha(avg_fixed("on_time_pct", 2), 1).alias("on_time_pct"))
+    cols.append(rha(avg_fixed("late_pct", 2), 1).alias("pct_late"))
     return cols
 
 
@@ -51,9 +51,9 @@ def day_of_week_profile(m, route_filter: str = "all") -> DataFrame:
 def delay_probability(m, route_filter: str = "all") -> DataFrame:
     d = opt_eq(m.delay_analysis, "route_id", route_filter)
     return (d.groupBy(F.col("hour_of_day").alias("hour"))
-            .agg(rha(F.avg("significant_delay_pct"), 1).alias("delay_probability"),
+            .agg(rha(avg_fixed("significant_delay_pct", 2), 1).alias("delay_probability"),
                  F.sum("prediction_count").alias("trip_count"),
-                 minutes(F.avg("avg_delay_seconds")).alias("avg_delay_minutes")))
+                 minutes(avg_fixed("avg_delay_seconds", 1)).alias("avg_delay_minutes")))
 
 
 def hourly(m, route_filter: str = "all", day_type: str = "all") -> DataFrame:

@@ -120,7 +120,15 @@ def find_routes(m, origin: str, dest: str, preferred_pair: tuple | None = None,
 
 def route_reliability(m, route_ids: list[str]) -> DataFrame:
     """Trip-planner reliability per route: on time ≤ 120 s, risk > 300 s."""
-    s = m.scheduled_vs_actual.filter(F.col("route_id").isin(*route_ids))
+    return _reliability(m.scheduled_vs_actual.filter(F.col("route_id").isin(*route_ids)))
+
+
+def route_reliability_for(m, route_ids: DataFrame) -> DataFrame:
+    """Same, for the routes listed in a DataFrame (semi join, no collect)."""
+    return _reliability(m.scheduled_vs_actual.join(route_ids.distinct(), "route_id", "left_semi"))
+
+
+def _reliability(s: DataFrame) -> DataFrame:
     d = F.col("delay_seconds")
     return s.groupBy("route_id").agg(
         rha(safe_divide(F.count_if(d <= 120), F.count(F.lit(1))) * 100, 1).alias("on_time_pct"),

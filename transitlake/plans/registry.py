@@ -23,6 +23,7 @@ SparkJob = Callable[[SparkSession, str], DataFrame]
 _JOBS: dict[str, SparkJob] = {}
 _SQL: dict[str, str] = {}
 _MODEL_FNS: dict[str, Callable] = {}
+_FINAL_SQL: dict[str, str] = {}
 
 
 def utc_wallclock(df: DataFrame) -> DataFrame:
@@ -47,10 +48,16 @@ def register(key: str, sql: str | None = None, models_sql: bool = True):
         _MODEL_FNS[key] = fn
         if sql is not None:
             _SQL[key] = with_models(sql) if models_sql else sql
+            _FINAL_SQL[key] = sql
         return fn
     return deco
 
 
+def final_sql(key: str) -> str:
+    """The registered oracle statement of ``key`` without the model CTEs."""
+    return _FINAL_SQL[key]
+
+
 def register_raw(key: str, sql: str | None = None):
     """Decorator for jobs that need the session and data dir directly."""
     def deco(fn):
