@@ -33,3 +33,4 @@ from transitlake.plans import catalog_ops  # noqa: F401,E402
 from transitlake.plans import catalog_streams  # noqa: F401,E402
 from transitlake.plans import catalog_sources  # noqa: F401,E402
 from transitlake.plans import catalog_derived  # noqa: F401,E402
+from transitlake.plans import catalog_ml  # noqa: F401,E402

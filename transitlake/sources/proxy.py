@@ -251,7 +251,7 @@ class RawTables:
             _s(F.col("l_suppkey")).alias("stop_id"),
             _s(F.col("l_orderkey")).alias("trip_id"),
             F.concat(F.lit("v"), _s(F.col("l_orderkey") % 50)).alias("vehicle_id"),
-            _ts(_epoch(F.col("l_shipdate")) + ln * 60).alias("extracted_at"),
+            _ts(_epoch(F.col("l_shipdate")) + (F.col("l_orderkey") * 37) % 86400 + ln * 60).alias("extracted_at"),
         )
 
     @cached_property
