@@ -37,8 +37,11 @@ def new_rows(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataF
     insert_cols = [c for c in target.columns if c in source.columns]
     if not insert_cols:
         raise ValueError("No loadable columns: source and target share no column")
-    src = source.distinct().select(*insert_cols)
-    if keys and all(k in insert_cols for k in keys):
+    keyed = bool(keys) and all(k in insert_cols for k in keys)
+    # With keys, the key de-dup that follows removes exact duplicates too,
+    # so the separate DISTINCT shuffle is skipped.
+    src = source.select(*insert_cols) if keyed else source.distinct().select(*insert_cols)
+    if keyed:
         t = target.select(*keys)
         src = src.join(t, null_safe_on(src, t, keys), "left_anti")
     ttypes = {f.name: f.dataType for f in target.schema.fields}
@@ -179,9 +182,10 @@ class RawStore:
         if e.mode == "replace":
             self._write_beside(source, path)
         elif not self._exists(path):
-            first = source.distinct()
-            if keys and all(k in first.columns for k in keys):
-                first = dedupe_on(first, keys)
+            if keys and all(k in source.columns for k in keys):
+                first = dedupe_on(source, keys)
+            else:
+                first = source.distinct()
             first.write.mode("overwrite").parquet(path)
         else:
             target = self.table(name)

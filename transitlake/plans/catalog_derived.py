@@ -193,5 +193,7 @@ register("o21_message_intents", _intent_sql())(lambda m: O.message_intents(m.raw
 
 # Trip options (rows-only: combines route finding, reliability and alerts).
 register("o04_trip_options")(lambda m: O.trip_options(m, ORIGIN, DEST, NOW_ALERTS))
-register("o13b_delay_probability_risk")(lambda m: O.delay_probability_risk(m))
+register("o13b_delay_probability_risk", f"""
+SELECT *, CASE WHEN delay_probability >= 40 THEN 'HIGH' WHEN delay_probability >= 20 THEN 'MEDIUM' ELSE 'LOW' END
+  AS risk_level FROM ({fs('n33_temporal_delay_probability')}) d""")(lambda m: O.delay_probability_risk(m))
 _ = RawTables

@@ -45,12 +45,21 @@ def _matching(lookup: DataFrame, stop: str) -> DataFrame:
     return lookup.filter((F.col("stop_id") == stop) | (F.col("parent_station_id") == stop)).select("stop_id")
 
 
-def _legs(se: DataFrame, board: DataFrame, alight: DataFrame | None,
+def _legs(se: DataFrame, board: DataFrame | None, alight: DataFrame | None,
           board_alias: str, alight_alias: str) -> DataFrame:
     """(boarding visit, later visit of the same trip) pairs; ``board`` /
-    ``alight`` restrict the boarding / alighting stops (semi joins)."""
-    b = se.join(board, "stop_id", "left_semi") if board is not None else se
-    a = se.join(alight, "stop_id", "left_semi") if alight is not None else se
+    ``alight`` restrict the boarding / alighting stops (semi joins).
+
+    The unrestricted side is first cut to the trips that pass the
+    restricted stops (semi join on trip id), so only the visits of those
+    trips — never the whole schedule — reach the pairing join's shuffle.
+    """
+    b = se.join(board, "stop_id", "left_semi") if board is not None else None
+    a = se.join(alight, "stop_id", "left_semi") if alight is not None else None
+    if b is None:
+        b = se.join(a.select("trip_id").distinct(), "trip_id", "left_semi")
+    if a is None:
+        a = se.join(b.select("trip_id").distinct(), "trip_id", "left_semi")
     b = b.select(*[F.col(c).alias(f"{board_alias}_{c}") for c in se.columns])
     a = a.select(*[F.col(c).alias(f"{alight_alias}_{c}") for c in se.columns])
     return b.join(a, (F.col(f"{board_alias}_trip_id") == F.col(f"{alight_alias}_trip_id"))
@@ -66,11 +75,13 @@ def find_routes(m, origin: str, dest: str, preferred_pair: tuple | None = None,
     se = _schedule_enriched(m)
     o_stops, d_stops = _matching(lookup, origin), _matching(lookup, dest)
 
+    # Route attributes depend on the route id alone, so they are grouping
+    # keys (hash aggregation) rather than min()/any_value() of strings.
     direct = (_legs(se, o_stops, d_stops, "o", "d")
               .filter(F.col("d_arrival_time").isNotNull())
-              .groupBy(F.col("o_route_id").alias("first_route_id"))
-              .agg(*[F.min(f"o_{c}").alias(f"first_{c}") for c in ROUTE_ATTRS],
-                   F.min("o_departure_time").alias("first_departure"),
+              .groupBy(F.col("o_route_id").alias("first_route_id"),
+                       *[F.col(f"o_{c}").alias(f"first_{c}") for c in ROUTE_ATTRS])
+              .agg(F.min("o_departure_time").alias("first_departure"),
                    F.min("d_arrival_time").alias("final_arrival"),
                    F.countDistinct("o_trip_id").alias("matching_trips")))
     direct = direct.select(
@@ -88,17 +99,17 @@ def find_routes(m, origin: str, dest: str, preferred_pair: tuple | None = None,
     first = (_legs(se, o_stops, None, "l1", "t")
              .filter(F.col("t_arrival_time").isNotNull())
              .groupBy(F.col("l1_route_id").alias("first_route_id"),
-                      F.col("t_stop_group").alias("transfer_stop_id"))
-             .agg(*[F.min(f"l1_{c}").alias(f"first_{c}") for c in ROUTE_ATTRS],
-                  F.min("t_stop_name").alias("transfer_stop_name"),
+                      F.col("t_stop_group").alias("transfer_stop_id"),
+                      *[F.col(f"l1_{c}").alias(f"first_{c}") for c in ROUTE_ATTRS])
+             .agg(F.array_min(F.collect_set("t_stop_name")).alias("transfer_stop_name"),
                   F.min("l1_departure_time").alias("first_departure"),
                   F.countDistinct("l1_trip_id").alias("n1")))
     second = (_legs(se, None, d_stops, "l2", "d")
               .filter(F.col("d_arrival_time").isNotNull() & F.col("l2_departure_time").isNotNull())
               .groupBy(F.col("l2_route_id").alias("second_route_id"),
-                       F.col("l2_stop_group").alias("transfer_stop_id"))
-              .agg(*[F.min(f"l2_{c}").alias(f"second_{c}") for c in ROUTE_ATTRS],
-                   F.min("d_arrival_time").alias("final_arrival"),
+                       F.col("l2_stop_group").alias("transfer_stop_id"),
+                       *[F.col(f"l2_{c}").alias(f"second_{c}") for c in ROUTE_ATTRS])
+              .agg(F.min("d_arrival_time").alias("final_arrival"),
                    F.countDistinct("l2_trip_id").alias("n2")))
     transfer = first.join(second, "transfer_stop_id").filter(
         F.col("first_route_id") != F.col("second_route_id"))
