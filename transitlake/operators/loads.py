@@ -20,6 +20,8 @@ from transitlake.operators.latest import dedupe_on
 from transitlake.session import ensure_conf
 from transitlake.sources.schemas import DEDUPE_KEYS, REGISTRY, entity
 
+DT = "dt"   # partition column of append-mode raw tables
+
 
 # ---------------------------------------------------------------- plan level
 def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -30,10 +32,23 @@ def null_safe_on(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Colu
     return cond
 
 
-def new_rows(target: DataFrame, source: DataFrame, keys: Sequence[str]) -> DataFrame:
+def new_rows(target: DataFrame, source: DataFrame, keys: Sequence[str],
+             prune_col: str | None = None) -> DataFrame:
     """Source rows to insert: DISTINCT source restricted to the target's
     columns, minus keys already present (null-safe ``<=>``, so NULL keys are
-    matched instead of re-inserted). Missing target columns become NULL."""
+    matched instead of re-inserted). Missing target columns become NULL.
+
+    ``prune_col`` names a partition column of the target that is a function
+    of the keys (``dt`` of ``extracted_at``): the target is first cut to the
+    partitions present in the batch (static partition filters on the scan),
+    so an append reads the touched days, not the whole table. The list of
+    partition values is bounded by the days one batch spans."""
+    if prune_col and prune_col in target.columns and prune_col in source.columns:
+        vals = [r[0] for r in source.select(prune_col).distinct().collect()]
+        cond = F.col(prune_col).isin([v for v in vals if v is not None])
+        if any(v is None for v in vals):
+            cond = cond | F.col(prune_col).isNull()
+        target = target.filter(cond)
     insert_cols = [c for c in target.columns if c in source.columns]
     if not insert_cols:
         raise ValueError("No loadable columns: source and target share no column")
@@ -153,8 +168,14 @@ class RawStore:
         return self._exists(self.table_path(name))
 
     def table(self, name: str) -> DataFrame:
+        """The table; append-mode tables carry their ``dt`` partition column."""
         return self.spark.read.parquet(self.table_path(name))
 
+    def rows(self, name: str) -> DataFrame:
+        """The table's rows in the entity's declared columns (no ``dt``)."""
+        df = self.table(name)
+        return df.drop(DT) if DT in df.columns else df
+
     # -- sources --------------------------------------------------------------
     def read_source(self, path: str, glob: str | None = None) -> DataFrame:
         """All Parquet files under ``path`` (recursive; union by column name).
@@ -169,33 +190,42 @@ class RawStore:
         return r.parquet(path)
 
     # -- loads ----------------------------------------------------------------
-    def _write_beside(self, df: DataFrame, path: str) -> None:
+    def _write_beside(self, df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
         tmp = f"{path}.new-{uuid.uuid4().hex[:8]}"
-        df.write.mode("overwrite").parquet(tmp)
+        w = df.write.mode("overwrite")
+        (w.partitionBy(*partition_by) if partition_by else w).parquet(tmp)
         self._swap(tmp, path)
 
     def load(self, name: str, source: DataFrame) -> int:
-        """Load one entity by its registry mode; returns the table row count."""
+        """Load one entity by its registry mode; returns the table row count.
+
+        Append-mode (snapshot) tables are partitioned by ``dt`` = date of
+        ``extracted_at`` (UTC), the column every append key contains.
+        """
         e = entity(name)
         path = self.table_path(name)
         keys = DEDUPE_KEYS.get(e.name, ())
         if e.mode == "replace":
             self._write_beside(source, path)
-        elif not self._exists(path):
-            if keys and all(k in source.columns for k in keys):
-                first = dedupe_on(source, keys)
-            else:
-                first = source.distinct()
-            first.write.mode("overwrite").parquet(path)
+            return self.table(name).count()
+        part = "extracted_at" in source.columns
+        if part:
+            source = source.withColumn(DT, F.to_date(F.col("extracted_at").try_cast("timestamp")))
+        keyed = bool(keys) and all(k in source.columns for k in keys)
+        if not self._exists(path):
+            first = dedupe_on(source, keys) if keyed else source.distinct()
+            w = first.write.mode("overwrite")
+            (w.partitionBy(DT) if part else w).parquet(path)
         else:
             target = self.table(name)
-            ins = new_rows(target, source, keys)
-            if keys and all(k in ins.columns for k in keys):
+            ins = new_rows(target, source, keys, prune_col=DT if part else None)
+            if keyed:
                 # The table is kept unique by key, so de-duplicating the new
                 # rows among themselves leaves the whole table unique — no
                 # full rewrite per append.
                 ins = dedupe_on(ins, keys)
-            ins.write.mode("append").parquet(path)
+            w = ins.write.mode("append")
+            (w.partitionBy(DT) if part and DT in ins.columns else w).parquet(path)
         return self.table(name).count()
 
     def load_path(self, name: str, path: str, glob: str | None = None) -> int:
@@ -212,7 +242,8 @@ class RawStore:
         keys = DEDUPE_KEYS.get(e.name)
         if not keys or not all(k in df.columns for k in keys):
             return df.count()
-        self._write_beside(dedupe_on(df, keys), self.table_path(name))
+        self._write_beside(dedupe_on(df, keys), self.table_path(name),
+                           partition_by=(DT,) if DT in df.columns else ())
         return self.table(name).count()
 
     def load_all(self, landing_root: str) -> DataFrame:
