@@ -34,7 +34,7 @@ FROM int_weather_transit WHERE delay_seconds IS NOT NULL""")(FE.weather_features
 
 register("r05_alert_features", """
 SELECT route_id, count(*) AS active_alerts, max(severity) AS max_alert_severity,
-  sum(informed_entity_count) AS total_entities_affected
+  CAST(sum(informed_entity_count) AS BIGINT) AS total_entities_affected
 FROM (SELECT unnest(affected_routes) AS route_id, severity, informed_entity_count
       FROM mart_alert_summary WHERE is_active = TRUE AND affected_routes IS NOT NULL) e
 GROUP BY route_id""")(FE.alert_features)
