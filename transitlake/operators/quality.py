@@ -224,3 +224,30 @@ def minimum_rows(counts: DataFrame, thresholds: dict[str, int]) -> DataFrame:
     return (th.join(counts, "table_name", "left")
             .select("table_name", F.coalesce("row_count", F.lit(0)).alias("row_count"), "min_rows",
                     (F.coalesce("row_count", F.lit(0)) >= F.col("min_rows")).alias("passed")))
+
+
+# -- checks declared by the source design but not implemented there (P14) ----
+def no_future_timestamps(df: DataFrame, entity: str, columns, now) -> DataFrame:
+    """Rows whose instants lie after ``now`` (one aggregate, one result row per column)."""
+    now_c = now if isinstance(now, Column) else lit_ts(now)
+    checks = [_check(entity, f"no_future:{c}", F.count_if(F.col(c).cast("timestamp") > now_c) == 0, "0",
+                     F.count_if(F.col(c).cast("timestamp") > now_c)) for c in columns]
+    return df.agg(F.array(*checks).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+
+
+def delay_in_range(df: DataFrame, lo: int = -1800, hi: int = 3600, col: str = "delay_seconds") -> DataFrame:
+    """Delay values outside the accepted window."""
+    bad = F.count_if(F.col(col).isNotNull() & ~F.col(col).between(lo, hi))
+    return df.agg(_check("delays", f"valid_delay_range:{col}", bad == 0, f"[{lo}, {hi}]", bad).alias("r")) \
+        .select("r.*")
+
+
+def row_count_drift(current: DataFrame, previous: DataFrame, max_change_pct: float = 50.0) -> DataFrame:
+    """Relative change of (table_name, row_count) between two snapshots."""
+    p = previous.select("table_name", F.col("row_count").alias("previous_count"))
+    j = current.join(p, "table_name", "full_outer")
+    cur, prev = F.coalesce("row_count", F.lit(0)), F.col("previous_count")
+    change = F.when(prev > 0, (cur - prev) * 100.0 / prev)
+    return j.select("table_name", cur.alias("row_count"), "previous_count",
+                    round_half_away(change, 1).alias("change_pct"),
+                    F.coalesce(F.abs(change) <= max_change_pct, F.lit(True)).alias("passed"))

@@ -148,3 +148,15 @@ def late_distribution(fm: DataFrame, features=("hour_of_day", "stop_position_bin
              .withColumn("late_pct", rha(F.col("late") * 100.0 / (F.col("late") + F.col("on_time")), 2)))
         out = g if out is None else out.unionByName(g)
     return out.select("feature", "value", "late", "on_time", "late_pct")
+
+
+def write_feature_matrix(fm: DataFrame, path: str, partitions: int = 0) -> str:
+    """C14: persist the matrix as Parquet (clustered by route) for training jobs."""
+    df = fm.repartition(partitions, "route_id") if partitions else fm
+    df.sortWithinPartitions("route_id", "stop_id").write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_feature_matrix(spark, path: str) -> DataFrame:
+    """Read a saved feature matrix."""
+    return spark.read.parquet(path)

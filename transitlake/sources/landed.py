@@ -19,3 +19,9 @@ def route_type_seed(spark: SparkSession) -> DataFrame:
 def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """Typed empty frame for an entity with no input."""
     return spark.createDataFrame([], schema)
+
+
+def mode_route_ids(routes: DataFrame, route_type: int = 3) -> DataFrame:
+    """A10: ids of one mode (default: bus), ordered."""
+    from pyspark.sql import functions as F
+    return routes.filter(F.col("route_type") == route_type).select("route_id").orderBy("route_id")
