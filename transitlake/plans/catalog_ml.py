@@ -97,7 +97,7 @@ register("r08_late_distribution", _late_sql())(lambda m: FE.late_distribution(FE
 
 # -- models (rows-only: fitted models are not reproducible in SQL) -----------
 def _data(m):
-    return L.split(FE.feature_matrix(m))
+    return L.training_frame(FE.feature_matrix(m))
 
 
 def regression_comparison(m, include_forest: bool = False):

@@ -38,6 +38,16 @@ def split(fm: DataFrame, seed: int = SEED, test_pct: int = TEST_PCT) -> DataFram
     return fm.withColumn("is_test", h < test_pct)
 
 
+def training_frame(fm: DataFrame, seed: int = SEED, test_pct: int = TEST_PCT) -> DataFrame:
+    """Split frame with its lineage cut: written once to the session's
+    shared checkpoint folder, so every fitting pass (indexers, scaler,
+    optimiser iterations, tree levels) reads it instead of recomputing the
+    feature plan, and a lost executor re-reads it rather than the sources."""
+    from transitlake.session import checkpoint_dir
+    checkpoint_dir(fm.sparkSession)
+    return split(fm, seed, test_pct).checkpoint(eager=True)
+
+
 def _prep_stages():
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetAsc",
                          handleInvalid="keep") for c in CATEGORICAL_FEATURES]
