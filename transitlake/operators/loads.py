@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from transitlake.operators.latest import dedupe_on
+from transitlake.operators.tables import cluster_for_partitioned_write
 from transitlake.session import ensure_conf
 from transitlake.sources.schemas import DEDUPE_KEYS, REGISTRY, entity
 
@@ -190,9 +191,10 @@ class RawStore:
         return r.parquet(path)
 
     # -- loads ----------------------------------------------------------------
-    def _write_beside(self, df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
+    def _write_beside(self, df: DataFrame, path: str, partition_by: Sequence[str] = (),
+                      keys: Sequence[str] = ()) -> None:
         tmp = f"{path}.new-{uuid.uuid4().hex[:8]}"
-        w = df.write.mode("overwrite")
+        w = cluster_for_partitioned_write(df, partition_by, keys).write.mode("overwrite")
         (w.partitionBy(*partition_by) if partition_by else w).parquet(tmp)
         self._swap(tmp, path)
 
@@ -214,6 +216,8 @@ class RawStore:
         keyed = bool(keys) and all(k in source.columns for k in keys)
         if not self._exists(path):
             first = dedupe_on(source, keys) if keyed else source.distinct()
+            if part:
+                first = cluster_for_partitioned_write(first, (DT,), keys if keyed else ())
             w = first.write.mode("overwrite")
             (w.partitionBy(DT) if part else w).parquet(path)
         else:
@@ -224,6 +228,8 @@ class RawStore:
                 # rows among themselves leaves the whole table unique — no
                 # full rewrite per append.
                 ins = dedupe_on(ins, keys)
+            if part and DT in ins.columns:
+                ins = cluster_for_partitioned_write(ins, (DT,), keys if keyed else ())
             w = ins.write.mode("append")
             (w.partitionBy(DT) if part and DT in ins.columns else w).parquet(path)
         return self.table(name).count()
@@ -243,7 +249,7 @@ class RawStore:
         if not keys or not all(k in df.columns for k in keys):
             return df.count()
         self._write_beside(dedupe_on(df, keys), self.table_path(name),
-                           partition_by=(DT,) if DT in df.columns else ())
+                           partition_by=(DT,) if DT in df.columns else (), keys=keys)
         return self.table(name).count()
 
     def load_all(self, landing_root: str) -> DataFrame:
@@ -285,6 +291,8 @@ class RawStore:
             df = df.withColumn("extracted_at", F.lit(ts))
         df = partition_columns(df, "extracted_at", hourly=e.kind == "fact")
         path = f"{landing_root.rstrip('/')}/{e.name}"
+        keys = [k for k in DEDUPE_KEYS.get(e.name, ()) if k in df.columns]
+        df = cluster_for_partitioned_write(df, e.partition_cols, keys)
         w = df.write.partitionBy(*e.partition_cols)
         if e.kind == "dimension":
             w = w.mode("overwrite").option("partitionOverwriteMode", "dynamic")

@@ -5,15 +5,43 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def cluster_for_partitioned_write(df: DataFrame, partition_by: Sequence[str],
+                                  cluster_by: Sequence[str] = ()) -> DataFrame:
+    """Range-cluster rows by (partition columns, cluster keys) before a
+    ``partitionBy`` write.
+
+    A hash-distributed frame holds rows of every partition value in every
+    task, so a partitioned write makes tasks × values small files (a
+    multi-year snapshot table: thousands of files per load). A range
+    exchange on (partition columns, keys) gives each task a contiguous run
+    of partition values, about one file per value, and still splits a hot
+    value over several tasks by the key. Without keys, a row hash is the
+    tie-breaker so a hot value is split all the same. Rows are sorted by
+    the same columns inside each task, which the partitioned writer needs
+    anyway and which keeps row-group min/max tight on the keys. The number
+    of ranges follows ``spark.sql.shuffle.partitions`` and AQE coalesces
+    small ones.
+    """
+    if not partition_by:
+        return df
+    tail = [F.col(c) for c in cluster_by] or [F.xxhash64(*[F.col(c) for c in df.columns])]
+    order = [F.col(c) for c in partition_by] + tail
+    return df.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def write_model(df: DataFrame, path: str, partition_by: Sequence[str] = (),
                 cluster_by: Sequence[str] = ()) -> str:
     """Materialise a model as Parquet: optional partition columns, rows
     clustered (sorted within files) so min/max statistics prune scans."""
-    w = df
-    if cluster_by:
-        w = w.sortWithinPartitions(*partition_by, *cluster_by)
+    if partition_by:
+        w = cluster_for_partitioned_write(df, partition_by, cluster_by)
+    elif cluster_by:
+        w = df.sortWithinPartitions(*cluster_by)
+    else:
+        w = df
     writer = w.write.mode("overwrite")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
