@@ -149,3 +149,23 @@ def test_route_finding_matches_brute_force(spark):
             pairs.setdefault(("transfer", l1["route"], l2["route"], group[l1d["stop"]]), set()).add((l1["trip"], l2["trip"]))
     exp.update({k: len(v) for k, v in pairs.items()})
     assert got == exp
+
+
+def test_cross_validation_folds_and_scores(spark):
+    """Every complete feature row lands in exactly one fold; each fold
+    is scored once per model; mean/std are over the fold scores."""
+    from transitlake.plans import features as FE
+    from transitlake.plans.models import Models
+    from transitlake.sources.proxy import RawTables
+    from tests.conftest import SF_SMALL
+    m = Models(RawTables(spark, SF_SMALL))
+    data = L.with_folds(FE.feature_matrix(m)).cache()
+    counts = {r["fold"]: r["count"] for r in data.groupBy("fold").count().collect()}
+    assert set(counts) <= set(range(5)) and sum(counts.values()) == data.count()
+    out = L.cross_validation(data, L.cv_models()).collect()
+    assert sorted(r["fold"] for r in out) == list(range(5))
+    vals = [r["value"] for r in out]
+    mean = sum(vals) / len(vals)
+    std = (sum((v - mean) ** 2 for v in vals) / len(vals)) ** 0.5
+    assert all(abs(r["mean"] - mean) < 1e-3 and abs(r["std"] - std) < 1e-3 for r in out)
+    assert all(r["metric"] == "mae" and r["value"] >= 0 for r in out)

@@ -146,6 +146,16 @@ register("r15b_classification_metrics")(classification_comparison)
 # ``regression_comparison(m, include_forest=True)`` /
 # ``classification_comparison(m, include_forest=True)``; at sf0.01 on
 # local[8] each takes minutes, so they are not part of the registry.
+def cross_validation(m, include_forest: bool = False):
+    """5-fold CV over every complete feature row (lineage cut once)."""
+    from transitlake.session import checkpoint_dir
+    fm = FE.feature_matrix(m)
+    checkpoint_dir(fm.sparkSession)
+    data = L.with_folds(fm).checkpoint(eager=True)
+    return L.cross_validation(data, L.cv_models(include_forest))
+
+
+register("r19_cross_validation")(cross_validation)
 register("r16_best_regression_model")(lambda m: L.best_model(regression_comparison(m), "r2"))
 register("r17_roc_curve")(lambda m: L.roc_curve(_logistic_pred(m)))
 register("r17b_confusion_matrix")(lambda m: L.confusion_matrix(_logistic_pred(m)))
