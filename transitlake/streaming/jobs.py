@@ -19,6 +19,12 @@
   dimensions (stream–static join) with the delay rules of the batch model.
 * ``freshness_monitor``: the freshness check on every micro-batch.
 
+Stateful queries use the RocksDB state store (state on local disk of each
+executor, changelog checkpoints to the shared folder) unless the session
+already names a provider: the latest-state and window states grow with the
+number of keys, which a heap-resident store cannot hold at scale. The
+provider is recorded in the checkpoint, so a restart keeps it.
+
 Checkpoints and sinks live under a root the caller passes (by default the
 session's shared ``spark.checkpoint.dir``), so a restarted query resumes
 from its last committed offsets on any executor set.
@@ -75,6 +81,20 @@ def ingest_stream(spark: SparkSession, paths: Sequence[str] | str, schema: T.Str
     return out
 
 
+_STATE_CONF = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def ensure_state_store(spark: SparkSession) -> None:
+    """Use the RocksDB state store where the session sets no provider."""
+    for k, v in _STATE_CONF.items():
+        if spark.conf.get(k, None) in (None, ""):
+            spark.conf.set(k, v)
+
+
 def _run(writer, checkpoint: str, available_now: bool = True):
     w = writer.option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 minutes")
@@ -101,6 +121,7 @@ def _change_log_sink(path: str):
 def latest_state(stream: DataFrame, keys: Sequence[str], order: Sequence, change_log: str,
                  checkpoint: str, available_now: bool = True):
     """Maintain the latest row per ``keys`` (greatest ``order`` tuple)."""
+    ensure_state_store(stream.sparkSession)
     cols = stream.columns
     ordering = F.struct(*[(F.col(o) if isinstance(o, str) else o).alias(f"_o{i}")
                           for i, o in enumerate(order)])
@@ -122,6 +143,7 @@ def stop_activity_stream(vehicles: DataFrame, stops: DataFrame, routes: DataFram
                          change_log: str, checkpoint: str, watermark: str = "2 hours",
                          available_now: bool = True):
     """Hourly per-stop activity from a vehicle-position stream."""
+    ensure_state_store(vehicles.sparkSession)
     v = (vehicles.filter(F.col("stop_id").isNotNull())
          .withColumn("extracted_at", F.col("extracted_at").cast("timestamp"))
          .withWatermark("extracted_at", watermark))
