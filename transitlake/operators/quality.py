@@ -39,6 +39,8 @@ EXPECTED = {
 }
 MIN_ROWS = {"routes": 100, "stops": 5000, "trips": 1000, "schedules": 5000, "predictions": 100,
             "vehicles": 10, "alerts": 1, "weather": 24}
+# Warehouse minimum rows of the daily row-count check (P10), per raw table.
+WAREHOUSE_MIN_ROWS = {"raw_routes": 100, "raw_stops": 5000, "raw_predictions": 500, "raw_vehicles": 10}
 RANGES = {
     "stops": {"latitude": ("41.0", "43.0"), "longitude": ("-72.0", "-70.0")},
     "vehicles": {"latitude": ("41.0", "43.0"), "longitude": ("-72.0", "-70.0")},

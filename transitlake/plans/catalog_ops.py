@@ -154,3 +154,41 @@ def _schema_sql() -> str:
 
 register("p11_schema_tests_staging", _schema_sql())(
     lambda m: quality.schema_tests({n: getattr(m, n) for n in quality.STAGING_TESTS}, quality.STAGING_TESTS))
+
+
+# P10: warehouse minimum rows over the table statistics.
+register("p10_warehouse_min_rows", "SELECT t.table_name, coalesce(c.row_count, 0) AS row_count, t.min_rows, "
+         "coalesce(c.row_count, 0) >= t.min_rows AS passed FROM (VALUES "
+         + ", ".join(f"('{k}', CAST({v} AS BIGINT))" for k, v in quality.WAREHOUSE_MIN_ROWS.items())
+         + ") t(table_name, min_rows) LEFT JOIN (" + "\nUNION ALL ".join(
+             f"SELECT 'raw_{e}' AS table_name, count(*) AS row_count FROM raw_{e}" for e in ENTITIES)
+         + ") c ON c.table_name = t.table_name")(
+    lambda m: quality.minimum_rows(_stats(m), quality.WAREHOUSE_MIN_ROWS))
+
+# Checks the source design declares — no snapshot instant after "now",
+# delays inside the accepted window.
+NOW_P14 = "1998-01-01 00:00:00"
+_P14_TS = ("predictions", "vehicles", "alerts")
+
+
+def _future_sql(e: str) -> str:
+    bad = f"count(CASE WHEN CAST(extracted_at AS TIMESTAMP) > TIMESTAMP '{NOW_P14}' THEN 1 END)"
+    return (f"SELECT '{e}' AS entity, 'no_future:extracted_at' AS \"check\", {bad} = 0 AS passed, "
+            f"'0' AS expected, CAST({bad} AS VARCHAR) AS actual, CAST(NULL AS VARCHAR) AS details FROM raw_{e}")
+
+
+def _future(m):
+    out = None
+    for e in _P14_TS:
+        r = quality.no_future_timestamps(getattr(m.raw, e), e, ["extracted_at"], NOW_P14)
+        out = r if out is None else out.unionByName(r)
+    return out
+
+
+register("p14_no_future_timestamps", "\nUNION ALL ".join(_future_sql(e) for e in _P14_TS))(_future)
+register("p14b_delay_range", """
+SELECT 'delays' AS entity, 'valid_delay_range:delay_seconds' AS "check", bad = 0 AS passed,
+  '[-1800, 3600]' AS expected, CAST(bad AS VARCHAR) AS actual, CAST(NULL AS VARCHAR) AS details
+FROM (SELECT count(CASE WHEN delay_seconds IS NOT NULL AND NOT (delay_seconds BETWEEN -1800 AND 3600)
+                        THEN 1 END) AS bad FROM int_scheduled_vs_actual) x""")(
+    lambda m: quality.delay_in_range(m.scheduled_vs_actual))
