@@ -120,17 +120,16 @@ FROM ({" UNION ALL ".join(_suite_sql(e) for e in ENTITIES)}) r GROUP BY entity""
     lambda m: quality.summarize(quality.validate_all({e: getattr(m.raw, e) for e in ENTITIES})))
 
 # Freshness of each raw table at a given instant.
-_fresh_rows = []
-for _e in ENTITIES:
-    _col = "extracted_at" if _e in ("predictions", "vehicles", "alerts") else "timestamp"
-    if _e in ("routes", "stops", "trips", "schedules"):
-        continue
-    _lim = quality.FRESHNESS_HOURS.get(_e, quality.FRESHNESS_DEFAULT_HOURS)
-    _age = f"((epoch_us(TIMESTAMP '{NOW_FRESH}') // 1000000) - (epoch_us(max(\"{_col}\")) // 1000000)) / 3600.0::DOUBLE"
-    _fresh_rows.append(
-        f"SELECT '{_e}' AS entity, 'freshness' AS check, coalesce({_age} <= {_lim}, FALSE) AS passed, "
-        f"'<= {_lim} h' AS expected, coalesce(CAST({rnd(_age, 2)} AS VARCHAR), 'missing') AS actual, "
-        f"CAST(NULL AS VARCHAR) AS details FROM raw_{_e}")
+def fresh_sql(e: str, now: str = NOW_FRESH) -> str:
+    col = "extracted_at" if e in ("predictions", "vehicles", "alerts") else "timestamp"
+    lim = quality.FRESHNESS_HOURS.get(e, quality.FRESHNESS_DEFAULT_HOURS)
+    age = f"((epoch_us(TIMESTAMP '{now}') // 1000000) - (epoch_us(max(\"{col}\")) // 1000000)) / 3600.0::DOUBLE"
+    return (f"SELECT '{e}' AS entity, 'freshness' AS check, coalesce({age} <= {lim}, FALSE) AS passed, "
+            f"'<= {lim} h' AS expected, coalesce(CAST({rnd(age, 2)} AS VARCHAR), 'missing') AS actual, "
+            f"CAST(NULL AS VARCHAR) AS details FROM raw_{e}")
+
+
+_fresh_rows = [fresh_sql(e) for e in ENTITIES if e not in ("routes", "stops", "trips", "schedules")]
 register("p9_freshness", "\nUNION ALL ".join(_fresh_rows))(
     lambda m: quality.freshness({e: getattr(m.raw, e) for e in ("predictions", "vehicles", "alerts", "weather")},
                                 NOW_FRESH))

@@ -212,11 +212,15 @@ def delay_stream(predictions: DataFrame, schedules: DataFrame, routes: DataFrame
 
 
 def freshness_monitor(stream: DataFrame, entity: str, results_path: str, checkpoint: str,
-                      available_now: bool = True):
-    """Append a freshness result row per micro-batch (age vs. batch time)."""
+                      available_now: bool = True, now=None):
+    """Append a freshness result row per micro-batch: the age of the
+    batch's newest snapshot at ``now`` (default: the batch's processing
+    time)."""
+    from transitlake.functions.core import lit_ts
     from transitlake.operators.quality import freshness
 
     def sink(batch: DataFrame, batch_id: int) -> None:
-        freshness({entity: batch}, F.current_timestamp()).withColumn("batch_id", F.lit(batch_id)) \
+        at = lit_ts(now) if now is not None else F.current_timestamp()
+        freshness({entity: batch}, at).withColumn("batch_id", F.lit(batch_id).cast("long")) \
             .write.mode("append").parquet(results_path)
     return _run(stream.writeStream.foreachBatch(sink), checkpoint, available_now)
