@@ -113,3 +113,14 @@ def test_union_relaxed(spark):
     b = spark.createDataFrame([(2.5,)], "v double")
     out = loads.union_relaxed([a, b])
     assert dict(out.dtypes)["v"] == "double" and out.count() == 2
+
+
+def test_empty_first_batch_is_a_noop(spark, tmpdir_path):
+    """An empty batch before any data creates no table; the next batch loads."""
+    from transitlake.operators.loads import RawStore
+    from transitlake.sources import schemas as S
+    store = RawStore(spark, f"{tmpdir_path}/wh")
+    assert store.load("vehicles", spark.createDataFrame([], S.VEHICLES)) == 0
+    assert not store.exists("vehicles")
+    row = tuple({"vehicle_id": "v1", "extracted_at": "2025-06-20T12:00:00Z"}.get(f.name) for f in S.VEHICLES.fields)
+    assert store.load("vehicles", spark.createDataFrame([row], S.VEHICLES)) == 1

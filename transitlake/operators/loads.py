@@ -215,6 +215,10 @@ class RawStore:
             source = source.withColumn(DT, F.to_date(F.col("extracted_at").try_cast("timestamp")))
         keyed = bool(keys) and all(k in source.columns for k in keys)
         if not self._exists(path):
+            if source.isEmpty():
+                # An empty batch (e.g. an empty landed file) creates no
+                # table: a partitioned write of no rows leaves no files.
+                return 0
             first = dedupe_on(source, keys) if keyed else source.distinct()
             if part:
                 first = cluster_for_partitioned_write(first, (DT,), keys if keyed else ())
