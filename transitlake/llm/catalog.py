@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm import mixing
-from transitlake.llm.common import prepare, table
+from transitlake.llm import bpe, mixing, planes
+from transitlake.llm.common import prepare, scratch, table
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -65,3 +65,22 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = mixing.mix(table(spark, sf_dir, "documents"))
     return m.select("doc_id", "size", "source_size", "target",
                     (F.col("size") * F.col("times")).cast("long").alias("taken"))
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+    return public_tokenizers.path(name)
+
+
+@job("op2_token_planes")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded, written as byte-plane files in id order, and read back."""
+    path = scratch(spark, "token-planes")
+    planes.write(table(spark, sf_dir, "documents"), path, tokenizer("byte_bpe_50k.json"))
+    return planes.digest(planes.read(spark, path))
+
+
+@job("op8_forced_boundary_bpe")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents encoded and decoded by forced-boundary splitting."""
+    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), keep_ids=False)

@@ -23,7 +23,9 @@ from transitlake.session import checkpoint_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows and bytes of an Arrow batch sent to a Python worker.
 BATCH_ROWS = 1000
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 8 << 20
+#: Rows that Parquet's reader decodes at a time; texts and chunks can be long.
+READ_ROWS = 512
 
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -32,6 +34,7 @@ def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches and make this package importable on the workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
     _ship(spark)
     return spark
 
