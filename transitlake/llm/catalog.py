@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm import bpe, mixing, planes
-from transitlake.llm.common import prepare, scratch, table
+from transitlake.llm import bpe, langid, mixing, planes, quality_rules
+from transitlake.llm.common import crc_mod, prepare, scratch, table
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,3 +84,18 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded and decoded by forced-boundary splitting."""
     return bpe.encode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), keep_ids=False)
+
+
+@job("op1_language_id")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text, learned from four fifths of the labelled rows."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", "lang", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)).alias("held_out"))
+    model = langid.learn(docs.filter(~F.col("held_out")))
+    return langid.predict(docs, model, keep=["held_out"])
+
+
+@job("op6_quality_rules")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the verdict of risk-controlled cutoffs per language."""
+    return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

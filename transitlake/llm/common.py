@@ -14,6 +14,7 @@ import zipfile
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,7 +90,7 @@ def pieces(batch: pa.RecordBatch, col: str, limit: int = 2 << 20) -> Iterator[pa
     """Row ranges of ``batch`` whose ``col`` holds about ``limit`` bytes (one row at least)."""
     text = batch.column(batch.schema.get_field_index(col))
     n, start, held = batch.num_rows, 0, 0
-    sizes = pa.compute.binary_length(text).to_pylist()
+    sizes = pc.binary_length(text).to_pylist()
     for i in range(n):
         held += sizes[i] or 0
         if held >= limit:
