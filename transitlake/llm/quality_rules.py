@@ -12,8 +12,8 @@ stratum's good texts. Cutoffs of a rule are tested from the loosest to the
 strictest and testing ends at the first that fails (a fixed sequence needs no
 correction); rules and strata are corrected by Bonferroni, so all guarantees
 hold together with confidence ``1 - DELTA``. Among a rule's certified cutoffs
-the one that rejects most labelled bad texts is taken, the loosest among
-equals, so nothing good is risked without gain.
+the one that rejects most labelled bad texts less labelled good texts is
+taken, the loosest among equals, so little good is risked without gain.
 
 Texts are read once; the counts (a few integers per text) are checkpointed and
 all statistics are grouped counts of (stratum, rule, level), whose number does
@@ -42,7 +42,7 @@ from transitlake.llm import words
 from transitlake.llm.common import cut, pieces
 
 #: Most good texts that the rules together may reject in a stratum, and the risk of that promise failing.
-ALPHA = 0.01
+ALPHA = 0.05
 DELTA = 0.05
 WINDOW = 8
 MIN_WORDS = 20
@@ -59,7 +59,7 @@ RULES = {
     "duplicate_lines": "try_divide(n_dup_lines, n_words)",
     "repeated_words": "try_divide(n_repeat_words, n_words)",
 }
-#: Rule → cutoffs from the loosest to the strictest.
+#: Rule → cutoffs from the loosest to the strictest, as many for each rule.
 CUTOFFS = {
     "symbols": [2.0 * 0.8**i for i in range(24)],
     "long_words": [30.0 * 0.92**i for i in range(24)],
@@ -179,12 +179,13 @@ def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
     seen = seen.groupBy("stratum", F.col("x.rule").alias("rule"), F.col("x.level").alias("level")).agg(
         F.sum(F.when(F.col("good") == 1, 1).otherwise(0)).alias("good"),
         F.sum(F.when(F.col("good") == 0, 1).otherwise(0)).alias("bad"))
-    # Texts above cutoff i (from 1 on) are those of level i and more.
-    steps = F.explode(F.sequence(F.lit(1), F.lit(max(map(len, CUTOFFS.values()))))).alias("step")
+    # Cutoffs fall, so texts above cutoff i (from 1 on) exceed all from i on.
+    size = len(next(iter(CUTOFFS.values())))
+    steps = F.explode(F.sequence(F.lit(1), F.lit(size))).alias("step")
     cells = seen.groupBy("stratum", "rule").agg(F.sum("good").alias("n"),
                                                 F.collect_list(F.struct("level", "good", "bad")).alias("levels"))
     tests = cells.select("stratum", "rule", "n", "levels", steps)
-    above = F.filter("levels", lambda v: v["level"] >= F.col("step"))
+    above = F.filter("levels", lambda v: v["level"] > size - F.col("step"))
     tests = tests.select("stratum", "rule", "n", "step",
                          F.aggregate(above, F.lit(0).cast("long"), lambda a, v: a + v["good"]).alias("lost"),
                          F.aggregate(above, F.lit(0).cast("long"), lambda a, v: a + v["bad"]).alias("caught"))
@@ -200,9 +201,9 @@ def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str = "doc_id", labe
     tests = tests.mapInPandas(test, "stratum string, rule string, n long, step int, lost long, caught long, "
                                     "family long, fails int")
     order = W.partitionBy("stratum", "rule").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    passed = tests.withColumn("failed", F.sum("fails").over(order)).filter("failed = 0 AND caught > 0")
+    passed = tests.withColumn("failed", F.sum("fails").over(order)).filter("failed = 0 AND caught > lost")
     chosen = passed.groupBy("stratum", "rule").agg(
-        F.max(F.struct("caught", (-F.col("step")).alias("step"))).alias("x"))
+        F.max(F.struct((F.col("caught") - F.col("lost")).alias("gain"), (-F.col("step")).alias("step"))).alias("x"))
     grid = F.create_map(*[v for r, cs in CUTOFFS.items()
                           for v in (F.lit(r), F.array(*[F.lit(float(c)) for c in cs]))])
     return chosen.select("stratum", "rule",
