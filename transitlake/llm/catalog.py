@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm import bpe, langid, mixing, planes, quality_rules
+from transitlake.llm import bpe, langid, minhash, mixing, planes, quality_rules
 from transitlake.llm.common import crc_mod, prepare, scratch, table
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +99,9 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the verdict of risk-controlled cutoffs per language."""
     return quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@job("op5_minhash_groups")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate groups on four-word shingles at similarity 0.8."""
+    return minhash.groups(table(spark, sf_dir, "documents"), size=4)
