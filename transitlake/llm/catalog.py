@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm import bpe, langid, minhash, mixing, planes, quality_rules
+from transitlake.llm import bpe, langid, minhash, mixing, planes, quality_rules, suffixes
 from transitlake.llm.common import crc_mod, prepare, scratch, table
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -105,3 +105,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate groups on four-word shingles at similarity 0.8."""
     return minhash.groups(table(spark, sf_dir, "documents"), size=4)
+
+
+@job("op10_sparse_suffixes")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of 50 words or more that stand in several documents."""
+    return suffixes.repeats(table(spark, sf_dir, "documents"))

@@ -185,7 +185,6 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
 
     reps = placed.filter("doc_id = rep").select("doc_id").distinct()
     rows = some.join(reps, "doc_id", "left_semi").select(F.explode("bands").alias("key"), F.col("doc_id").alias("v"))
-    rows = cut(rows)
     shared = rows.groupBy("key").agg(F.min("v").alias("x"), F.max("v").alias("y")).filter("x < y").select("key")
     members = cut(rows.join(shared, "key", "left_semi").distinct())
     sets = cut(full_sets(docs, id_col, text_col, size, members.select("v").distinct()))
