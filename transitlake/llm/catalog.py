@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm import bpe, langid, minhash, mixing, planes, quality_rules, suffixes
+from transitlake.llm import bpe, langid, minhash, mixing, planes, quality_model, quality_rules, suffixes
 from transitlake.llm.common import crc_mod, prepare, scratch, table
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,18 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of 50 words or more that stand in several documents."""
     return suffixes.repeats(table(spark, sf_dir, "documents"))
+
+
+def quality_weights(spark: SparkSession, sf_dir: str):
+    """The classifier of ``labels.quality``, without the rows that are held out."""
+    labels = table(spark, sf_dir, "labels").filter(crc_mod("doc_id", 3) != 1)
+    return quality_model.fit(table(spark, sf_dir, "documents"), labels)
+
+
+@job("op4_quality_classifier")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every whole text, learned from two thirds of the labels."""
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
+    out = quality_model.score(docs, quality_weights(spark, sf_dir), keep=["held_out"])
+    return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
