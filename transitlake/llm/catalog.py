@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm import bpe, langid, minhash, mixing, planes, quality_model, quality_rules, suffixes
+from transitlake.llm import bpe, langid, minhash, mixing, planes, quality_model, quality_rules, suffixes, vectors
 from transitlake.llm.common import crc_mod, prepare, scratch, table
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +126,9 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "text", F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
     out = quality_model.score(docs, quality_weights(spark, sf_dir), keep=["held_out"])
     return out.withColumn("predicted", F.when(F.col("score") >= 0.5, 1).otherwise(0))
+
+
+@job("op7_subspace_vectors")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label with cosine 0.93 or more, as links and components."""
+    return vectors.groups(table(spark, sf_dir, "embeddings"), cosine=0.93)
