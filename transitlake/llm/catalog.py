@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm import bpe, langid, minhash, mixing, planes, quality_model, quality_rules, suffixes, vectors
+from transitlake.llm import bpe, langid, minhash, mixing, planes, quality_model, quality_rules, suffixes, vectors, warc
 from transitlake.llm.common import crc_mod, prepare, scratch, table
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -132,3 +132,24 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors of one label with cosine 0.93 or more, as links and components."""
     return vectors.groups(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+_WARC_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+k AS (SELECT html, max(page_id) AS keeper FROM p WHERE octet_length(encode(html)) >= 1000 GROUP BY html)
+SELECT p.page_id, octet_length(encode(p.html))::BIGINT AS payload_bytes, sha1(p.html) AS payload_digest,
+       CASE WHEN k.keeper <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN k.keeper <> p.page_id THEN k.keeper END AS refers_to
+FROM p LEFT JOIN k ON p.html = k.html
+"""
+
+
+@job("op3_warc_pages", _WARC_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as WARC archives and read back."""
+    warc.register(spark)
+    path = scratch(spark, "warc")
+    records = warc.page_records(table(spark, sf_dir, "pages"), f"{path}-keepers")
+    records.write.format("warc").mode("append").save(path)
+    read = spark.read.format("warc").load(path).filter(F.col("warc_type").isin("response", "revisit"))
+    return warc.page_digest(read)
