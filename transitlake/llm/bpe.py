@@ -177,37 +177,41 @@ def worker(path: str) -> ForcedBoundaryBPE:
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",
-           keep_ids: bool = True) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if asked for, ids and decoded.
+           ids: bool = True, decoded: bool = True) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and, unless turned off, ids and decoded.
 
     A map over the texts: no shuffle, one document in memory at a time besides
     the Arrow batch.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = "ids array<int>, decoded string, " if keep_ids else ""
+    more = [c for c, on in (("ids array<int>", ids), ("decoded string", decoded)) if on]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = worker(tokenizer)
         for batch in batches:
             texts = batch.column(1).cast(pa.binary())
-            out: list[list] = [[], [], [], [], []]
+            digests: list[tuple[int, str, str]] = []
+            all_ids, all_decoded = [], []
             for i in range(batch.num_rows):
-                ids = bpe.encode(texts[i].as_py() or b"")
-                decoded = bpe.decode(ids)
-                out[0].append(len(ids) // 4)
-                out[1].append(hashlib.sha256(ids).hexdigest())
-                out[2].append(hashlib.sha256(decoded).hexdigest())
-                if keep_ids:
-                    out[3].append(np.frombuffer(ids, "<i4"))
-                    out[4].append(decoded)
-            cols = [batch.column(0)]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                cols += [pa.array(out[3], pa.list_(pa.int32())),
-                         pa.array(out[4], pa.binary()).cast(pa.string())]
-                names = ["doc_id", "ids", "decoded", *names[1:]]
-            cols += [pa.array(out[0], pa.int64()), pa.array(out[1], pa.string()), pa.array(out[2], pa.string())]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {kind}"
-                                "n_tokens long, ids_sha256 string, decoded_sha256 string")
+                found = bpe.encode(texts[i].as_py() or b"")
+                spoken = bpe.decode(found)
+                digests.append((len(found) // 4, hashlib.sha256(found).hexdigest(),
+                                hashlib.sha256(spoken).hexdigest()))
+                if ids:
+                    all_ids.append(found)
+                if decoded:
+                    all_decoded.append(spoken)
+            n, first, second = zip(*digests, strict=True) if digests else ((), (), ())
+            cols = {"doc_id": batch.column(0), "n_tokens": pa.array(n, pa.int64()),
+                    "ids_sha256": pa.array(first, pa.string()), "decoded_sha256": pa.array(second, pa.string())}
+            if ids:
+                ends = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
+                cols["ids"] = pa.ListArray.from_arrays(
+                    pa.array(ends), pa.array(np.frombuffer(b"".join(all_ids), "<i4")))
+            if decoded:
+                cols["decoded"] = pa.array(all_decoded, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", "n_tokens long", "ids_sha256 string",
+                                           "decoded_sha256 string", *more]))

@@ -181,21 +181,21 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, w: np.ndarray, id_col: str = "doc_id", text_col: str = "text",
-          keep: list[str] | None = None) -> DataFrame:
+          keep: list[str] | None = None, score_col: str = "score") -> DataFrame:
     """id, ``keep`` columns and score of every text (a map, no shuffle)."""
-    rows = docs.select(F.col(text_col).alias("text_"), F.col(id_col), *[F.col(c) for c in keep or []])
+    rows = docs.select(F.col(text_col).alias("_text_"), F.col(id_col), *[F.col(c) for c in keep or []])
     shared = docs.sparkSession.sparkContext.broadcast(w)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weight = shared.value
         for batch in batches:
-            for part in pieces(batch, "text_"):
+            for part in pieces(batch, "_text_"):
                 text, slot, n_words = features(*words.text_bytes(part.column(0)))
                 dot = np.bincount(text, weights=weight[slot], minlength=part.num_rows)
                 dot = dot / np.maximum(1, n_words) + weight[-1]
                 yield pa.RecordBatch.from_arrays(
                     [*part.columns[1:], pa.array(1 / (1 + np.exp(-np.clip(dot, -30, 30))))],
-                    [*part.schema.names[1:], "score"])
+                    [*part.schema.names[1:], score_col])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{kept}, score double")
+    return rows.mapInArrow(run, f"{kept}, {score_col} double")

@@ -200,15 +200,17 @@ def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col:
     per = (spans.filter("removed").groupBy(F.col("doc_id").alias("_id"))
            .agg(F.collect_set(F.struct("start_word", "end_word")).alias("_cuts")))
     rows = docs.join(per, docs[id_col].cast("long") == per["_id"], "left").drop("_id")
-    cut_text = F.udf(_cut_text, "string")
-    text = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(cut_text(F.col(text_col), F.col("_cuts")))
+    # Only texts that lose a span go to the worker.
+    cut_text = F.udf(_cut_text, "string", useArrow=True)
+    shorter = cut_text(F.when(F.col("_cuts").isNotNull(), F.col(text_col)), F.col("_cuts"))
+    text = F.when(F.col("_cuts").isNull(), F.col(text_col)).otherwise(shorter)
     rows = rows.withColumn(text_col, text)
     return rows.filter(F.col("_cuts").isNull() | F.col(text_col).isNotNull()).drop("_cuts")
 
 
-def _cut_text(text: str | None, cuts: list) -> str | None:
+def _cut_text(text: str | None, cuts: list | None) -> str | None:
     """``text`` without the word spans; None if no word is left."""
-    if text is None:
+    if text is None or cuts is None:
         return None
     raw = text.encode()
     data = np.frombuffer(raw, np.uint8)
