@@ -22,21 +22,21 @@ from transitlake.plans.queries.common import minutes, route_color, top
 ROUTE_ATTRS = ("route_name", "route_type", "route_type_desc", "route_color")
 
 
-def _stop_lookup(m) -> DataFrame:
+def _places(m) -> DataFrame:
     return m.raw.stops.select(
         "stop_id", "parent_station_id",
         F.coalesce("parent_station_id", "stop_id").alias("stop_group"),
         F.col("name").alias("stop_name"))
 
 
-def _schedule_enriched(m) -> DataFrame:
+def _calls(m) -> DataFrame:
     s = m.raw.schedules.filter(F.col("departure_time").isNotNull()).select(
         "trip_id", "route_id", "stop_id", "direction_id", "stop_sequence", "arrival_time",
         "departure_time")
     r = F.broadcast(m.raw.routes.select(
         "route_id", F.col("long_name").alias("route_name"), "route_type", "route_type_desc",
         route_color().alias("route_color")))
-    return (s.join(_stop_lookup(m).select("stop_id", "stop_group", "stop_name"), "stop_id")
+    return (s.join(_places(m).select("stop_id", "stop_group", "stop_name"), "stop_id")
              .join(r, "route_id"))
 
 
@@ -71,8 +71,8 @@ def _legs(se: DataFrame, board: DataFrame | None, alight: DataFrame | None,
 def find_routes(m, origin: str, dest: str, preferred_pair: tuple | None = None,
                 limit: int = 25) -> DataFrame:
     """Direct and one-transfer route options between two stops/stations."""
-    lookup = _stop_lookup(m)
-    se = _schedule_enriched(m)
+    lookup = _places(m)
+    se = _calls(m)
     o_stops, d_stops = _matching(lookup, origin), _matching(lookup, dest)
 
     # Route attributes depend on the route id alone, so they are grouping
