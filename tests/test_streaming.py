@@ -47,4 +47,3 @@ def test_freshness_monitor(spark, tmpdir_path):
     sj.freshness_monitor(s, "predictions", f"{tmpdir_path}/res", f"{tmpdir_path}/ck")
     r = spark.read.parquet(f"{tmpdir_path}/res").first()
     assert r["check"] == "freshness" and r["passed"] is False
-    _ = F

@@ -42,14 +42,13 @@ def new_rows(target: DataFrame, source: DataFrame, keys: Sequence[str],
     ``prune_col`` names a partition column of the target that is a function
     of the keys (``dt`` of ``extracted_at``): the target is first cut to the
     partitions present in the batch (static partition filters on the scan),
-    so an append reads the touched days, not the whole table. The list of
-    partition values is bounded by the days one batch spans."""
+    so an append reads the touched days, not the whole table. They are a
+    range: two values and a flag come to the driver, whatever the batch."""
     if prune_col and prune_col in target.columns and prune_col in source.columns:
-        vals = [r[0] for r in source.select(prune_col).distinct().collect()]
-        cond = F.col(prune_col).isin([v for v in vals if v is not None])
-        if any(v is None for v in vals):
-            cond = cond | F.col(prune_col).isNull()
-        target = target.filter(cond)
+        p = F.col(prune_col)
+        lo, hi, unknown = source.agg(F.min(p), F.max(p), F.count_if(p.isNull())).first()
+        cond = F.lit(False) if lo is None else p.between(F.lit(lo), F.lit(hi))
+        target = target.filter(cond | p.isNull() if unknown else cond)
     insert_cols = [c for c in target.columns if c in source.columns]
     if not insert_cols:
         raise ValueError("No loadable columns: source and target share no column")
@@ -71,16 +70,39 @@ def append_result(target: DataFrame, source: DataFrame, keys: Sequence[str]) ->
     return dedupe_on(out, keys) if keys and all(k in out.columns for k in keys) else out
 
 
+_INTEGERS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 20}   # decimal digits
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The narrowest type that holds the values of both; text where there is none."""
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    pair = (type(a), type(b))
+    if all(t in _INTEGERS for t in pair):
+        return max((a, b), key=lambda t: _INTEGERS[type(t)])
+    if all(isinstance(t, T.NumericType) for t in (a, b)):
+        if T.FloatType in pair or T.DoubleType in pair:
+            narrow = pair in ((T.FloatType, T.ShortType), (T.FloatType, T.ByteType), (T.ShortType, T.FloatType),
+                              (T.ByteType, T.FloatType))
+            return T.FloatType() if narrow else T.DoubleType()
+        digits = [(t.precision - t.scale, t.scale) if isinstance(t, T.DecimalType) else (_INTEGERS[type(t)], 0)
+                  for t in (a, b)]
+        whole, scale = (max(d[i] for d in digits) for i in (0, 1))
+        return T.DecimalType(whole + scale, scale) if whole + scale <= 38 else T.DoubleType()
+    if T.DateType in pair and (T.TimestampType in pair or T.TimestampNTZType in pair):
+        return a if isinstance(b, T.DateType) else b
+    return T.StringType()
+
+
 def union_relaxed(frames: Sequence[DataFrame]) -> DataFrame:
-    """Diagonal concat: union by name, missing columns NULL, numeric
-    columns widened to a common type (int→long→double)."""
-    rank = {T.IntegerType: 1, T.LongType: 2, T.FloatType: 3, T.DoubleType: 4}
+    """Diagonal concat: union by name, missing columns NULL, each column in
+    the common type of all frames (``common_type``)."""
     widest: dict[str, T.DataType] = {}
     for df in frames:
         for f in df.schema.fields:
-            cur = widest.get(f.name)
-            if cur is None or rank.get(type(f.dataType), 0) > rank.get(type(cur), 0):
-                widest[f.name] = f.dataType
+            widest[f.name] = common_type(widest[f.name], f.dataType) if f.name in widest else f.dataType
     out = None
     for df in frames:
         cast = df.select(*[F.col(f.name).cast(widest[f.name]) for f in df.schema.fields])
@@ -153,13 +175,29 @@ class RawStore:
         return bool(fs.exists(p))
 
     def _swap(self, new_path: str, path: str) -> None:
+        """Put the folder ``new_path`` in the place of ``path``.
+
+        The old folder is deleted only once the new one is in place; if the
+        new one cannot be moved (an exception or a false answer), the old one
+        is moved back and the load fails with the table as it was.
+        """
         fs, p = self._fs(path)
         jvm = self.spark.sparkContext._jvm
+        new = jvm.org.apache.hadoop.fs.Path(new_path)
         old = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex[:8]}")
-        if fs.exists(p):
-            fs.rename(p, old)
-        fs.rename(jvm.org.apache.hadoop.fs.Path(new_path), p)
-        if fs.exists(old):
+        if not fs.exists(new):
+            raise FileNotFoundError(f"nothing was written to {new_path}")
+        had = bool(fs.exists(p))
+        if had and not fs.rename(p, old):
+            raise OSError(f"{path} could not be moved aside")
+        try:
+            if not fs.rename(new, p):
+                raise OSError(f"{new_path} could not be moved to {path}")
+        except Exception:
+            if had and not fs.exists(p):
+                fs.rename(old, p)
+            raise
+        if had:
             fs.delete(old, True)
 
     def table_path(self, name: str) -> str:
@@ -198,10 +236,11 @@ class RawStore:
         (w.partitionBy(*partition_by) if partition_by else w).parquet(tmp)
         self._swap(tmp, path)
 
-    def load(self, name: str, source: DataFrame) -> int:
+    def load(self, name: str, source: DataFrame, count: bool = True) -> int:
         """Load one entity by its registry mode; returns the table row count.
 
-        Append-mode (snapshot) tables are partitioned by ``dt`` = date of
+        ``count=False`` leaves the count out (micro-batches: it would open
+        every file of the table) and returns -1. Append-mode (snapshot) tables are partitioned by ``dt`` = date of
         ``extracted_at`` (UTC), the column every append key contains.
         """
         e = entity(name)
@@ -209,7 +248,7 @@ class RawStore:
         keys = DEDUPE_KEYS.get(e.name, ())
         if e.mode == "replace":
             self._write_beside(source, path)
-            return self.table(name).count()
+            return self.table(name).count() if count else -1
         part = "extracted_at" in source.columns
         if part:
             source = source.withColumn(DT, F.to_date(F.col("extracted_at").try_cast("timestamp")))
@@ -236,7 +275,7 @@ class RawStore:
                 ins = cluster_for_partitioned_write(ins, (DT,), keys if keyed else ())
             w = ins.write.mode("append")
             (w.partitionBy(DT) if part and DT in ins.columns else w).parquet(path)
-        return self.table(name).count()
+        return self.table(name).count() if count else -1
 
     def load_path(self, name: str, path: str, glob: str | None = None) -> int:
         entity(name)

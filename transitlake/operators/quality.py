@@ -42,14 +42,14 @@ MIN_ROWS = {"routes": 100, "stops": 5000, "trips": 1000, "schedules": 5000, "pre
 # Warehouse minimum rows of the daily row-count check (P10), per raw table.
 WAREHOUSE_MIN_ROWS = {"raw_routes": 100, "raw_stops": 5000, "raw_predictions": 500, "raw_vehicles": 10}
 RANGES = {
-    "stops": {"latitude": ("41.0", "43.0"), "longitude": ("-72.0", "-70.0")},
-    "vehicles": {"latitude": ("41.0", "43.0"), "longitude": ("-72.0", "-70.0")},
-    "weather": {"temperature_2m": ("-40.0", "120.0"), "precipitation": ("0.0", "500.0"),
-                "wind_speed_10m": ("0.0", "200.0")},
-    "routes": {"route_type": ("0", "4")},
+    "stops": {"latitude": (41.0, 43.0), "longitude": (-72.0, -70.0)},
+    "vehicles": {"latitude": (41.0, 43.0), "longitude": (-72.0, -70.0)},
+    "weather": {"temperature_2m": (-40.0, 120.0), "precipitation": (0.0, 500.0),
+                "wind_speed_10m": (0.0, 200.0)},
+    "routes": {"route_type": (0, 4)},
 }
 # Freshness limits in hours: snapshot facts vs. everything else.
-FRESHNESS_HOURS = {"predictions": 0.5, "vehicles": 0.5, "alerts": 0.5}
+FRESHNESS_HOURS = {"predictions": 0.5, "vehicles": 0.5}
 FRESHNESS_DEFAULT_HOURS = 25.0
 # ---------------------------------------------------------------------------
 

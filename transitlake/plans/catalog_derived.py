@@ -119,7 +119,7 @@ SELECT trip_id, service_date,
   list({{'stop_sequence': stop_sequence, 'stop_id': stop_id, 'stop_name': stop_name, 'departure_time': departure_time}}
        ORDER BY stop_sequence, stop_id, stop_name, departure_time) AS stops,
   min(departure_time) AS first_departure
-FROM ({fs('n26_schedules_timetable')}) t GROUP BY trip_id, service_date""")(
+FROM ({fs('n26_schedules_timetable').replace("LIMIT 1000", "")}) t GROUP BY trip_id, service_date""")(
     lambda m: O.timetable_by_trip(m, ROUTE, 0, START, END))
 
 _N1_ALL = fs("n01_alerts_active").replace("LIMIT 50", "")
@@ -196,4 +196,3 @@ register("o04_trip_options")(lambda m: O.trip_options(m, ORIGIN, DEST, NOW_ALERT
 register("o13b_delay_probability_risk", f"""
 SELECT *, CASE WHEN delay_probability >= 40 THEN 'HIGH' WHEN delay_probability >= 20 THEN 'MEDIUM' ELSE 'LOW' END
   AS risk_level FROM ({fs('n33_temporal_delay_probability')}) d""")(lambda m: O.delay_probability_risk(m))
-_ = RawTables

@@ -178,7 +178,7 @@ def worst_best_routes(m, n=10) -> DataFrame:
 def timetable_by_trip(m, route_id, direction_id, start, end, tz="UTC") -> DataFrame:
     """Timetable rows grouped per trip, stops in sequence order."""
     from transitlake.plans.queries import schedules as qs
-    t = qs.timetable(m, route_id, direction_id, start, end, tz)
+    t = qs.timetable(m, route_id, direction_id, start, end, tz, limit=None)
     return t.groupBy("trip_id", "service_date").agg(
         F.array_sort(F.collect_list(F.struct("stop_sequence", "stop_id", "stop_name",
                                              "departure_time"))).alias("stops"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from transitlake.functions.core import service_date
 from transitlake.plans.queries.common import route_color, top
@@ -15,6 +16,14 @@ def _with_service_date(s: DataFrame, tz: str) -> DataFrame:
 
 
 def _window(s: DataFrame, start: str, end: str) -> DataFrame:
+    """Rows of a service-date window.
+
+    The service date is computed, so a range on the departure instant that
+    holds the window in every zone goes with it: that one reaches the scan.
+    """
+    if isinstance(s.schema["departure_time"].dataType, T.TimestampType):
+        s = s.filter((F.col("departure_time") >= F.date_sub(F.lit(start).cast("date"), 1).cast("timestamp"))
+                     & (F.col("departure_time") < F.date_add(F.lit(end).cast("date"), 3).cast("timestamp")))
     return s.filter(F.col("service_date").between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 

@@ -35,13 +35,15 @@ def ensure_conf(spark: SparkSession) -> SparkSession:
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for lineage cuts and write-beside-then-swap rewrites.
 
-    Uses the cluster's ``spark.checkpoint.dir`` when it is set; only when it
-    is unset (local tests) a private scratch folder is created and
-    registered.
+    Uses the cluster's ``spark.checkpoint.dir``. Only a local session may
+    leave it unset (a private scratch folder is made for it then); on a
+    cluster each executor would write to a disk of its own, so that raises.
     """
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        # Unset only in ad-hoc local sessions: a private scratch folder.
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"spark.checkpoint.dir must name a shared folder on {master}")
         d = tempfile.mkdtemp(prefix="transitlake-ckpt-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(d)

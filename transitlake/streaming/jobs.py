@@ -12,9 +12,9 @@
   changed keys (update mode) into a change log whose newest entry per key
   is the current state. A late, older snapshot never replaces a newer one
   because the order is part of the aggregate, not of arrival.
-* ``stop_activity_stream``: 1-hour tumbling windows with a watermark;
-  exact distinct vehicles via ``size(collect_set)`` (``countDistinct`` is
-  not supported on streams), emitted in update mode into a change log.
+* ``stop_activity_stream``: ``foreachBatch`` over the exactly-once raw table;
+  the hours a batch touches are computed again with the batch model, so late
+  and replayed rows are right at any time.
 * ``delay_stream``: each arriving prediction joined to static schedules and
   dimensions (stream–static join) with the delay rules of the batch model.
 * ``freshness_monitor``: the freshness check on every micro-batch.
@@ -42,7 +42,9 @@ from pyspark.sql import types as T
 from transitlake.functions.core import seconds_between, service_date
 from transitlake.functions.labels import delay_category
 from transitlake.operators.latest import latest_per_key
-from transitlake.operators.loads import RawStore
+from transitlake.operators.loads import DT, RawStore
+from transitlake.plans import staging
+from transitlake.plans.intermediate import stop_activity
 from transitlake.session import checkpoint_dir
 
 
@@ -50,9 +52,9 @@ def stream_root(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/transitlake-stream/{name}-{uuid.uuid4().hex[:8]}"
 
 
-def land_in_time_order(df: DataFrame, path: str, ts_col: str, files: int) -> str:
+def land_in_time_order(df: DataFrame, path: str, ts_col: str, files: int, newest_first: bool = False) -> str:
     """Write ``df`` as ``files`` Parquet files, each a contiguous range of
-    ``ts_col`` (range partitioning), so files arrive in event-time order."""
+    ``ts_col`` (range partitioning), to arrive in or against event-time order."""
     df.repartitionByRange(files, F.col(ts_col)).write.mode("overwrite").parquet(path)
     # The file source replays files by modification time: stamp them in
     # range order so they arrive as the events happened.
@@ -60,8 +62,8 @@ def land_in_time_order(df: DataFrame, path: str, ts_col: str, files: int) -> str
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    parts = sorted(str(st.getPath().toString()) for st in fs.listStatus(p)
-                   if st.getPath().getName().startswith("part-"))
+    parts = sorted((str(st.getPath().toString()) for st in fs.listStatus(p)
+                    if st.getPath().getName().startswith("part-")), reverse=newest_first)
     base = 1_600_000_000_000
     for i, f in enumerate(parts):
         fs.setTimes(jvm.org.apache.hadoop.fs.Path(f), base + i * 60_000, -1)
@@ -95,9 +97,13 @@ def ensure_state_store(spark: SparkSession) -> None:
             spark.conf.set(k, v)
 
 
-def _run(writer, checkpoint: str, available_now: bool = True):
+#: Trigger of streams that keep running.
+TRIGGER = "5 minutes"
+
+
+def _run(writer, checkpoint: str, available_now: bool = True, trigger: str = TRIGGER):
     w = writer.option("checkpointLocation", checkpoint)
-    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="5 minutes")
+    w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime=trigger)
     q = w.start()
     if available_now:
         q.awaitTermination()
@@ -108,7 +114,7 @@ def append_exactly_once(stream: DataFrame, store: RawStore, entity: str, checkpo
                         available_now: bool = True):
     """Append every micro-batch to ``store``'s raw table idempotently."""
     def sink(batch: DataFrame, batch_id: int) -> None:
-        store.load(entity, batch)
+        store.load(entity, batch, count=False)
     return _run(stream.writeStream.foreachBatch(sink), checkpoint, available_now)
 
 
@@ -139,41 +145,32 @@ def read_current(spark: SparkSession, change_log: str, keys: Sequence[str]) -> D
     return latest_per_key(log, keys, ["_batch_id"]).select(*cols)
 
 
-def stop_activity_stream(vehicles: DataFrame, stops: DataFrame, routes: DataFrame,
-                         change_log: str, checkpoint: str, watermark: str = "2 hours",
-                         available_now: bool = True):
-    """Hourly per-stop activity from a vehicle-position stream."""
-    ensure_state_store(vehicles.sparkSession)
-    v = (vehicles.filter(F.col("stop_id").isNotNull())
-         .withColumn("extracted_at", F.col("extracted_at").cast("timestamp"))
-         .withWatermark("extracted_at", watermark))
-    s = stops.filter(F.col("stop_id").isNotNull() & F.col("latitude").isNotNull()
-                     & F.col("longitude").isNotNull()).select(
-        "stop_id", F.col("name").alias("stop_name"), "municipality", "location_type_desc")
-    r = F.broadcast(routes.filter(F.col("route_id").isNotNull()).select(
-        "route_id", F.col("long_name").alias("route_name"), "route_type_desc"))
-    st = F.col("current_status")
-    agg = (v.join(s, "stop_id", "left").join(r, "route_id", "left")
-           .groupBy("stop_id", "stop_name", "municipality", "location_type_desc", "route_id",
-                    "route_name", "route_type_desc", F.window("extracted_at", "1 hour"), "direction_id")
-           .agg(F.size(F.collect_set("vehicle_id")).cast("long").alias("vehicle_count"),
-                F.count(F.lit(1)).alias("observation_count"),
-                F.avg("avg_occupancy_pct").alias("mean_occupancy_pct"),
-                F.max("avg_occupancy_pct").alias("max_occupancy_pct"),
-                F.min("avg_occupancy_pct").alias("min_occupancy_pct"),
-                F.count_if(st == "STOPPED_AT").alias("stopped_count"),
-                F.count_if(st == "IN_TRANSIT_TO").alias("in_transit_count"),
-                F.count_if(st == "INCOMING_AT").alias("incoming_count")))
-    agg = agg.select("stop_id", "stop_name", "municipality", "location_type_desc", "route_id",
-                     "route_name", "route_type_desc", F.col("window.start").alias("activity_hour"),
-                     "direction_id", "vehicle_count", "observation_count", "mean_occupancy_pct",
-                     "max_occupancy_pct", "min_occupancy_pct", "stopped_count", "in_transit_count",
-                     "incoming_count")
-    w = agg.writeStream.outputMode("update").foreachBatch(_change_log_sink(change_log))
-    return _run(w, checkpoint, available_now)
+def stop_activity_stream(vehicles: DataFrame, store: RawStore, stops: DataFrame, routes: DataFrame,
+                         change_log: str, checkpoint: str, available_now: bool = True):
+    """Hourly per-stop activity from a stream of raw vehicle positions.
 
+    Every micro-batch is appended exactly once to ``store``'s raw table and
+    the (stop, hour) groups it touches are computed again from that table with
+    the batch model. So late rows count however late they are, replayed ones
+    count once, and the stream cannot drift from the batch model. A batch
+    reads the days it touches (partition range), not the table.
+    """
+    hour = F.date_trunc("hour", F.col("extracted_at").cast("timestamp"))
 
-STOP_ACTIVITY_KEYS = ["stop_id", "route_id", "activity_hour", "direction_id"]
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        store.load("vehicles", batch, count=False)
+        if not store.exists("vehicles"):
+            return
+        touched = batch.filter(F.col("stop_id").isNotNull()).select("stop_id", hour.alias("_hour")).distinct()
+        first, last = touched.agg(F.min(F.to_date("_hour")), F.max(F.to_date("_hour"))).first()
+        if first is None:
+            return
+        rows = store.table("vehicles").filter(F.col(DT).between(F.lit(first), F.lit(last)))
+        rows = rows.withColumn("_hour", hour).join(touched, ["stop_id", "_hour"], "left_semi").drop("_hour", DT)
+        groups = stop_activity(staging.stg_vehicles(rows), staging.stg_stops(stops), staging.stg_routes(routes))
+        groups.withColumn("_batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(change_log)
+
+    return _run(vehicles.writeStream.foreachBatch(sink), checkpoint, available_now)
 
 
 def delay_stream(predictions: DataFrame, schedules: DataFrame, routes: DataFrame,
