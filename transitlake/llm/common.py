@@ -81,6 +81,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def rejoin(rows: DataFrame, found: DataFrame, key: str | list[str], how: str = "inner") -> DataFrame:
+    """Join ``rows`` with ``found``, an aggregate of theirs by ``key``.
+
+    The join's key is the complement of the first (integer) key. That is a new
+    key to Spark, which therefore does not put the join on the aggregate's
+    partitions: both sides get an exchange of their own and AQE can split the
+    rows of a hot key.
+    """
+    keys = [key] if isinstance(key, str) else key
+    turned = {keys[0]: F.bitwise_not(keys[0])}
+    return rows.withColumns(turned).join(found.withColumns(turned), keys, how).withColumns(turned)
+
+
 def crc_mod(id_col: str, n: int):
     """``crc32(id as text) mod n``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n

@@ -6,12 +6,14 @@ grams of ``GRAM`` words the one with the smallest hash. Two texts that share a
 passage of ``MIN_WORDS`` words keep a suffix at the same place in it; about one
 word in 16 starts a kept suffix.
 
-1. *Sort and compare*: kept suffixes are brought together by their leading
+1. *Copies*: texts with the same words throughout form a class; its first
+   document stands for it, the others are repeats as a whole.
+2. *Sort and compare*: kept suffixes are brought together by their leading
    gram, where neighbours are equal. Only "held by another document" matters,
    so a gram needs no list of its suffixes: its smallest and largest document
    differ or they don't, which is partially aggregated before the shuffle. A
    gram that a third of all documents hold is no hot task.
-2. *Extend*: texts that keep suffixes with shared grams are read again, and
+3. *Extend*: texts that keep suffixes with shared grams are read again, and
    each such suffix is extended left and right by every window of
    ``MIN_WORDS`` words that contains its gram. Windows are compared in the same
    way. A window that an earlier document holds is a repeat; the windows of a
@@ -37,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitlake.llm import words
-from transitlake.llm.common import cut, pieces
+from transitlake.llm.common import cut, pieces, rejoin
 
 #: Words of the shortest passage, and of the gram that leads a kept suffix.
 MIN_WORDS = 50
@@ -81,8 +83,23 @@ def _words(part: pa.RecordBatch, col: str) -> tuple[np.ndarray, np.ndarray]:
     return words.hash_spans(data, starts, ends), first
 
 
+def _whole(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A 128-bit digest of each text's words in their order."""
+    place = np.arange(len(h), dtype=np.uint64) - np.repeat(first[:-1], np.diff(first)).astype(np.uint64)
+    out = []
+    for step in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        total = np.zeros(len(h) + 1, np.uint64)
+        np.cumsum(words.mix(h + place * np.uint64(step)), dtype=np.uint64, out=total[1:])
+        out.append((total[first[1:]] - total[first[:-1]]).view(np.int64))
+    return out[0], out[1]
+
+
 def kept_suffixes(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
-    """doc_id, grams: the distinct leading grams of every text's kept suffixes."""
+    """doc_id, n, d1, d2, grams of texts that are long enough.
+
+    Their words, the digest of all, and the distinct leading grams of the kept
+    suffixes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,10 +117,13 @@ def kept_suffixes(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
                 key, owner = key[new], owner[new]
                 cuts = np.searchsorted(owner, np.arange(part.num_rows + 1)).astype(np.int32)
                 out = pa.ListArray.from_arrays(pa.array(cuts), pa.array(key.view(np.int64)))
-                rows = pa.RecordBatch.from_arrays([part.column(0), out], ["doc_id", "grams"])
-                yield rows.filter(pa.array(np.diff(cuts) > 0))
+                n, (d1, d2) = np.diff(first), _whole(h, first)
+                rows = pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(n.astype(np.int32)), pa.array(d1), pa.array(d2), out],
+                    ["doc_id", "n", "d1", "d2", "grams"])
+                yield rows.filter(pa.array(n >= min_words))
 
-    return docs.mapInArrow(run, "doc_id long, grams array<long>")
+    return docs.mapInArrow(run, "doc_id long, n int, d1 long, d2 long, grams array<long>")
 
 
 def _windows(h: np.ndarray, first: np.ndarray, wanted: list[np.ndarray], min_words: int, gram: int):
@@ -162,34 +182,53 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).na.drop()
     kept = cut(kept_suffixes(texts, min_words, gram))
-    heads = kept.select("doc_id", F.explode("grams").alias("gram"))
-    shared = (heads.join(_shared(heads, "gram").select("gram"), "gram", "left_semi")
+    classes = kept.groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last"))
+    kept = rejoin(kept, classes, ["d1", "d2", "n"])
+    copies = kept.filter("doc_id > rep").select("doc_id", "n").distinct()
+    copied = kept.filter("doc_id = rep AND last > rep").select("doc_id", "n").distinct()
+
+    heads = kept.filter("doc_id = rep").select("doc_id", F.explode("grams").alias("gram"))
+    shared = (rejoin(heads, _shared(heads, "gram").select("gram"), "gram", "left_semi")
               .groupBy("doc_id").agg(F.collect_set("gram").alias("grams")))
-    around = cut(extended(texts, shared, min_words, gram))
+    around = extended(texts, shared, min_words, gram)
     rows = around.select("doc_id", F.explode(F.arrays_zip("starts", "windows")).alias("x")).select(
         "doc_id", F.col("x.starts").alias("start"), F.col("x.windows").alias("key"))
-    held = rows.join(_shared(rows, "key"), "key").select(
-        "doc_id", "start", (F.col("doc_id") > F.col("first_doc")).alias("removed"))
-    per = held.groupBy("doc_id", "removed").agg(F.collect_set("start").alias("starts"))
+    held = rejoin(rows, _shared(rows, "key"), "key")
+    earlier = F.col("doc_id") > F.col("first_doc")
+    per = held.groupBy("doc_id").agg(F.collect_set(F.when(earlier, F.col("start"))).alias("gone"),
+                                     F.collect_set(F.when(~earlier, F.col("start"))).alias("first"))
+    per = per.join(copied, "doc_id", "full").select("doc_id", "n", "gone", "first")
+
+    def spans(starts: np.ndarray) -> list[tuple[int, int]]:
+        if not len(starts):
+            return []
+        gap = np.flatnonzero(np.diff(starts) > min_words)
+        begin, end = starts[np.concatenate([[0], gap + 1])], starts[np.concatenate([gap, [len(starts) - 1]])]
+        return list(zip(begin.tolist(), (end + min_words).tolist(), strict=True))
 
     def join_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out: list[list] = [[], [], [], []]
+            out: list[tuple[int, int, int, int, bool]] = []
             for i in range(b.num_rows):
-                s = np.sort(b.column(2)[i].values.to_numpy())
-                gap = np.flatnonzero(np.diff(s) > min_words)
-                begin, end = s[np.concatenate([[0], gap + 1])], s[np.concatenate([gap, [len(s) - 1]])] + min_words
-                out[0] += [b.column(0)[i].as_py()] * len(begin)
-                out[1] += begin.tolist()
-                out[2] += end.tolist()
-                out[3] += [b.column(1)[i].as_py()] * len(begin)
+                doc, n = b.column("doc_id")[i].as_py(), b.column("n")[i].as_py()
+                gone, first = (np.sort(np.array(b.column(c)[i].as_py() or [], np.int64)) for c in ("gone", "first"))
+                if n is not None:
+                    # A copy follows, so every other window has its first place here.
+                    first = np.setdiff1d(np.arange(n - min_words + 1), gone)
+                out += [(doc, x, y, y - x, removed) for s, removed in ((gone, True), (first, False))
+                        for x, y in spans(s)]
+            cols = list(zip(*out, strict=True)) or [()] * 5
             yield pa.RecordBatch.from_arrays(
-                [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32()),
-                 pa.array([y - x for x, y in zip(out[1], out[2], strict=True)], pa.int32()),
-                 pa.array(out[3], pa.bool_())], ["doc_id", "start_word", "end_word", "n_words", "removed"])
+                [pa.array(c, t) for c, t in zip(cols, _SPAN_TYPES, strict=True)], _SPAN_NAMES)
+
+    whole = copies.select("doc_id", F.lit(0).alias("start_word"), F.col("n").alias("end_word"),
+                          F.col("n").alias("n_words"), F.lit(True).alias("removed"))
+    return per.mapInArrow(join_up, "doc_id long, start_word int, end_word int, n_words int, "
+                                   "removed boolean").unionByName(whole)
+
 
-    return per.select("doc_id", "removed", "starts").mapInArrow(
-        join_up, "doc_id long, start_word int, end_word int, n_words int, removed boolean")
+_SPAN_NAMES = ["doc_id", "start_word", "end_word", "n_words", "removed"]
+_SPAN_TYPES = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
 
 
 def without(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
