@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from transitlake.plans import features as FE
+from transitlake.plans import explore as X
 from transitlake.plans import learning as L
 from transitlake.plans.oracle_sql import rnd
 from transitlake.plans.registry import register
@@ -159,10 +160,12 @@ register("r19_cross_validation")(cross_validation)
 register("r16_best_regression_model")(lambda m: L.best_model(regression_comparison(m), "r2"))
 register("r17_roc_curve")(lambda m: L.roc_curve(_logistic_pred(m)))
 register("r17b_confusion_matrix")(lambda m: L.confusion_matrix(_logistic_pred(m)))
-register("r20_error_by_route")(lambda m: L.error_by_route(_linear_pred(m)))
-register("r21_classification_by_route")(lambda m: L.classification_by(_logistic_pred(m), "route_id"))
+register("r20_error_by_route")(lambda m: X.with_route_names(L.error_by_route(_linear_pred(m)), m.raw.routes))
+register("r21_classification_by_route")(
+    lambda m: X.with_route_names(L.classification_by(_logistic_pred(m), "route_id"), m.raw.routes))
 register("r21b_classification_by_hour")(lambda m: L.classification_by(_logistic_pred(m), "hour_of_day"))
 register("r22_precision_recall_summary")(lambda m: L.pr_summary(_logistic_pred(m)))
 register("r23_error_extremes")(lambda m: L.error_extremes(_linear_pred(m)))
 register("r23b_error_by_delay_bucket")(lambda m: L.error_by_delay_bucket(_linear_pred(m)))
-register("r24_route_priority")(lambda m: L.route_priority(_linear_pred(m), _logistic_pred(m)))
+register("r24_route_priority")(
+    lambda m: X.with_route_names(L.route_priority(_linear_pred(m), _logistic_pred(m)), m.raw.routes))

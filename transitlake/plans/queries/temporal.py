@@ -17,12 +17,13 @@ def scatter_day_of_week(m, route_filter: str = "all", sample_size: int = 500,
                         seed: int = 42) -> DataFrame:
     """A seeded sample of delay observations (weekday, route, minutes, hour).
 
-    The sample is the ``sample_size`` rows with the smallest
-    ``xxhash64(row key, seed)``: uniform, reproducible, and independent of
-    partitioning (a per-row ``rand()`` would change with the layout).
+    The sample is the ``sample_size`` rows with the smallest md5 of row key
+    and seed: uniform, reproducible, and independent of partitioning (a
+    per-row ``rand()`` would change with the layout).
     """
     s = opt_eq(m.scheduled_vs_actual, "route_id", route_filter)
-    k = F.xxhash64("prediction_id", "trip_id", "stop_id", "service_date", F.lit(int(seed)))
+    k = F.md5(F.concat_ws("|", "prediction_id", "trip_id", "stop_id", F.col("service_date").cast("string"),
+                          F.lit(str(int(seed)))).cast("binary"))
     s = s.select(day_name(day_of_week("service_date")).alias("day_of_week"), "route_id",
                  minutes("delay_seconds").alias("delay_minutes"),
                  hour_of(F.coalesce("scheduled_arrival", "scheduled_departure")).alias("hour"),
