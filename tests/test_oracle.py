@@ -45,7 +45,8 @@ def test_entry_smoke(spark):
 
 #: JSON text that the engines format differently, a composition of three
 #: queries, and the jobs that fit a model (their formulas have oracles: r..f).
-ROWS_ONLY = {"c16_geojson_route_lines", "o04_trip_options", "r15_regression_metrics", "r15b_classification_metrics",
+ROWS_ONLY = {"c16_geojson_route_lines", "o04_trip_options", "r13_forest_regression", "r14_forest_classification",
+             "r18_feature_importance", "r15_regression_metrics", "r15b_classification_metrics",
              "r16_best_regression_model", "r17_roc_curve", "r17b_confusion_matrix", "r19_cross_validation",
              "r20_error_by_route", "r21_classification_by_route", "r21b_classification_by_hour",
              "r22_precision_recall_summary", "r23_error_extremes", "r23b_error_by_delay_bucket", "r24_route_priority"}

@@ -178,6 +178,29 @@ STAGING_TESTS = {
 }
 
 
+MODEL_TESTS = {
+    "int_scheduled_vs_actual": SchemaTests(not_null=["prediction_id"]),
+    "int_stop_activity": SchemaTests(not_null=["stop_id", "activity_hour"]),
+    "int_alert_impacts": SchemaTests(not_null=["alert_id"]),
+    "int_weather_transit": SchemaTests(not_null=["prediction_id"]),
+    "mart_route_reliability": SchemaTests(not_null=["route_id", "route_name"]),
+    "mart_stop_performance": SchemaTests(not_null=["stop_id"]),
+    "mart_delay_analysis": SchemaTests(not_null=["route_id"]),
+    "mart_alert_summary": SchemaTests(not_null=["alert_id"], unique=["alert_id"]),
+}
+
+SOURCE_TESTS = {
+    "raw_routes": SchemaTests(not_null=["route_id"], unique=["route_id"]),
+    "raw_stops": SchemaTests(not_null=["stop_id"], unique=["stop_id"]),
+    "raw_trips": SchemaTests(not_null=["trip_id"]),
+    "raw_schedules": SchemaTests(not_null=["schedule_id"]),
+    "raw_predictions": SchemaTests(not_null=["prediction_id"]),
+    "raw_vehicles": SchemaTests(not_null=["vehicle_id"]),
+    "raw_alerts": SchemaTests(not_null=["alert_id"]),
+    "raw_weather": SchemaTests(not_null=["timestamp"]),
+}
+
+
 def schema_tests(models: dict[str, DataFrame], tests: dict[str, SchemaTests]) -> DataFrame:
     """dbt-style tests: failing-row counts per test (status pass / fail / warn).
 

@@ -146,9 +146,9 @@ register("p9_freshness", "\nUNION ALL ".join(fresh_sql(e) for e in _FRESH))(
 
 
 # Schema tests on the staging models.
-def _schema_sql() -> str:
+def _schema_sql(tests=quality.STAGING_TESTS) -> str:
     parts = []
-    for name, t in quality.STAGING_TESTS.items():
+    for name, t in tests.items():
         for c in t.not_null:
             parts.append(f"SELECT '{name}' AS model, 'not_null:{c}' AS test, count(CASE WHEN {c} IS NULL THEN 1 END) AS failures, 'error' AS severity FROM {name}")
         for c, vals in t.accepted.items():
@@ -165,6 +165,23 @@ register("p11_schema_tests_staging", _schema_sql())(
     lambda m: quality.schema_tests({n: getattr(m, n) for n in quality.STAGING_TESTS}, quality.STAGING_TESTS))
 
 
+_INNER = {"int_scheduled_vs_actual": "scheduled_vs_actual", "int_stop_activity": "stop_activity",
+          "int_alert_impacts": "alert_impacts", "int_weather_transit": "weather_transit"}
+
+
+def _model(m, name: str):
+    if name.startswith("raw_"):
+        return getattr(m.raw, name.removeprefix("raw_"))
+    return getattr(m, _INNER.get(name, name.removeprefix("mart_")))
+
+
+register("p11b_schema_tests_models", _schema_sql(quality.MODEL_TESTS))(
+    lambda m: quality.schema_tests({n: _model(m, n) for n in quality.MODEL_TESTS}, quality.MODEL_TESTS))
+register("p11c_schema_tests_sources", _schema_sql(quality.SOURCE_TESTS).replace(
+    "not_null:timestamp' AS test, count(CASE WHEN timestamp IS NULL", "not_null:timestamp' AS test, count(CASE WHEN \"timestamp\" IS NULL"))(
+    lambda m: quality.schema_tests({n: _model(m, n) for n in quality.SOURCE_TESTS}, quality.SOURCE_TESTS))
+
+
 # P10: warehouse minimum rows over the table statistics.
 register("p10_warehouse_min_rows", "SELECT t.table_name, coalesce(c.row_count, 0) AS row_count, t.min_rows, "
          "coalesce(c.row_count, 0) >= t.min_rows AS passed FROM (VALUES "

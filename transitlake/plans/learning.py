@@ -17,7 +17,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from transitlake.functions.core import round_half_away as rha
@@ -31,6 +31,8 @@ TEST_PCT = 20
 # Model settings of the source notebooks (fixed values).
 RIDGE_ALPHAS = (1.0, 10.0)
 RF_TREES, RF_DEPTH, RF_MIN_LEAF = 200, 15, 10
+# Training rows of a forest: more are sampled by hash, scoring covers all test rows.
+FOREST_ROWS = 4000
 
 
 def split(fm: DataFrame, seed: int = SEED, test_pct: int = TEST_PCT) -> DataFrame:
@@ -79,6 +81,26 @@ def classification_models() -> dict:
                                                     featureSubsetStrategy="sqrt", seed=SEED)}
 
 
+def forest_sample(train: DataFrame, rows: int = FOREST_ROWS) -> DataFrame:
+    """At most about ``rows`` training rows, by a hash of the row key."""
+    h = F.pmod(F.xxhash64("prediction_id", "trip_id", "stop_id", "extracted_at", F.lit("forest")), F.lit(1_000_000))
+    return train.filter(h < int(min(1.0, rows / max(1, train.count())) * 1_000_000))
+
+
+def fit_forest(data: DataFrame, estimator, rows: int = FOREST_ROWS) -> tuple:
+    """``fit_predict`` with the forest's bounded training sample."""
+    train = forest_sample(data.filter(~F.col("is_test")), rows)
+    model = Pipeline(stages=_prep_stages() + [estimator]).fit(train)
+    return model, model.transform(data.filter(F.col("is_test")))
+
+
+def importance_table(model) -> DataFrame:
+    """(rank, feature, importance) of a fitted forest, all features."""
+    rows = [(i + 1, f, v) for i, (f, v) in enumerate(feature_importance(model, top=10_000))]
+    spark = SparkSession.active()
+    return spark.createDataFrame(rows, "rank int, feature string, importance double")
+
+
 def fit_predict(data: DataFrame, estimator) -> tuple:
     """Fit prep + estimator on the train rows; predictions on the test rows."""
     model = Pipeline(stages=_prep_stages() + [estimator]).fit(data.filter(~F.col("is_test")))
