@@ -19,12 +19,13 @@ from transitlake.streaming import jobs as sj
 from tests.conftest import SF_SMALL
 
 
-def test_stop_activity_counts_late_rows_and_replays_once(spark, tmpdir_path):
+@pytest.mark.parametrize("unit", ["day", "month"])
+def test_stop_activity_counts_late_rows_and_replays_once(spark, tmpdir_path, unit):
     raw = RawTables(spark, SF_SMALL)
     folders = [sj.land_in_time_order(raw.vehicles, f"{tmpdir_path}/land-{i}", "extracted_at", 3, newest_first=True)
                for i in range(2)]
     stream = sj.ingest_stream(spark, folders, raw.vehicles.schema)
-    store = RawStore(spark, f"{tmpdir_path}/store")
+    store = RawStore(spark, f"{tmpdir_path}/store", unit=unit)
     sj.stop_activity_stream(stream, store, raw.stops, raw.routes, f"{tmpdir_path}/log", f"{tmpdir_path}/ck")
     keys = ["stop_id", "route_id", "activity_hour", "direction_id"]
     got = sj.read_current(spark, f"{tmpdir_path}/log", keys)

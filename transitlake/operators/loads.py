@@ -158,11 +158,23 @@ def stations_geojson(stations: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- table root
 class RawStore:
-    """Raw tables as Parquet directories under ``root`` (``raw_<entity>``)."""
+    """Raw tables as Parquet directories under ``root`` (``raw_<entity>``).
 
-    def __init__(self, spark: SparkSession, root: str):
+    ``unit`` sizes the partitions of append-mode tables to the data: ``day``,
+    or ``month`` / ``year`` where a day holds too little for a file. ``dt`` is
+    the first date of the unit.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, unit: str = "day"):
         self.spark = ensure_conf(spark)
         self.root = root.rstrip("/")
+        if unit not in ("day", "month", "year"):
+            raise ValueError(f"unknown partition unit {unit!r}")
+        self.unit = unit
+
+    def partition_of(self, day: Column) -> Column:
+        """``dt`` of a date."""
+        return day if self.unit == "day" else F.trunc(day, self.unit).cast("date")
 
     # -- filesystem helpers (Hadoop FS through the session) -----------------
     def _fs(self, path: str):
@@ -251,7 +263,8 @@ class RawStore:
             return self.table(name).count() if count else -1
         part = "extracted_at" in source.columns
         if part:
-            source = source.withColumn(DT, F.to_date(F.col("extracted_at").try_cast("timestamp")))
+            day = F.to_date(F.col("extracted_at").try_cast("timestamp"))
+            source = source.withColumn(DT, self.partition_of(day))
         keyed = bool(keys) and all(k in source.columns for k in keys)
         if not self._exists(path):
             if source.isEmpty():

@@ -162,7 +162,8 @@ def stop_activity_stream(vehicles: DataFrame, store: RawStore, stops: DataFrame,
         if not store.exists("vehicles"):
             return
         touched = batch.filter(F.col("stop_id").isNotNull()).select("stop_id", hour.alias("_hour")).distinct()
-        first, last = touched.agg(F.min(F.to_date("_hour")), F.max(F.to_date("_hour"))).first()
+        part = store.partition_of(F.to_date("_hour"))
+        first, last = touched.agg(F.min(part), F.max(part)).first()
         if first is None:
             return
         rows = store.table("vehicles").filter(F.col(DT).between(F.lit(first), F.lit(last)))
