@@ -230,15 +230,17 @@ def test_near_groups_of_an_empty_table(nothing):
     assert minhash.groups(nothing).count() == 0
 
 
-def test_large_group_of_near_copies(session):
-    """Chains of near copies: one bucket, many centres needed, no pair lost."""
+@pytest.mark.parametrize("chunk", [256, 7])
+def test_large_group_of_near_copies(session, monkeypatch, chunk):
+    """Near copies of which many do not link: no pair lost, however homes are dealt."""
+    monkeypatch.setattr(minhash, "CHUNK", chunk)
     import random
     rnd = random.Random(3)
     base = [f"w{i}" for i in range(120)]
     rows = []
     for i in range(300):
         w = base[:]
-        for _ in range(rnd.randint(0, 5)):
+        for _ in range(rnd.randint(0, 9)):
             w[rnd.randrange(120)] = f"z{rnd.randrange(10_000)}"
         rows.append((i, " ".join(w)))
     docs = session.createDataFrame(rows, "doc_id long, text string")

@@ -12,20 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from transitlake.llm.common import cut
+from transitlake.llm.common import cut, rejoin
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
         edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
     least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return (both.filter("v > u").join(least, "u")
+    return (rejoin(both.filter("v > u"), least, "u")
             .select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct())
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
     least = edges.groupBy("hi").agg(F.min("lo").alias("m"))
-    moved = edges.join(least, "hi").filter("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+    moved = rejoin(edges, least, "hi").filter("lo > m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
     return least.select("hi", F.col("m").alias("lo")).unionByName(moved).distinct()
 
 

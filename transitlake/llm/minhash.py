@@ -3,19 +3,23 @@
 1. *Sketch* (a map over the texts): the set of word shingles as 64-bit hashes,
    a 128-bit digest of the set, and ``BANDS x ROWS`` minima of universal hash
    functions, one key per band. A pair at similarity 0.8 shares no band with
-   probability (1 - 0.8^5)^40, about 1e-7.
+   probability (1 - 0.8^7)^50, below 1e-5, and seven rows keep pairs that only
+   share a passage from meeting.
 2. *Copies*: documents with equal digests form a class; its smallest id stands
    for it from here on, so a group of copies costs one row per band.
 3. *Buckets*: (band key, class) rows; buckets of one class go.
-4. *Rounds*: comparing all pairs of a bucket would be quadratic. Each round
-   picks centres in every bucket, one in the first and up to a growing number
-   in later rounds, and compares them with the bucket's members of other
-   components. Pairs pass the signatures first and then the full shingle sets.
-   Components are brought up to date, centres leave their buckets (they have
-   met everyone), and so do buckets that lie in one component. The rounds end
-   when no bucket is left, so every candidate pair has been compared unless
-   its ends were linked otherwise: components are those of all candidates.
-   A bucket of near copies collapses after its first round.
+4. *Stars*: every member of a bucket is compared with the bucket's smallest
+   member, signatures first and then the full sets. This is linear, settles
+   nearly all buckets and collapses groups of near copies.
+5. *Rest*: buckets that still hold several components. Comparing their pairs
+   as rows would be quadratic output, so they are compared inside tasks: each
+   class belongs to its largest open bucket (its home), homes that meet in a
+   bucket form units of work, large homes are dealt into chunks and units are
+   pairs of chunks. A unit compares the full sets of all its pairs of different
+   components exactly and emits a spanning set of the links between components.
+   So every candidate pair has been compared or is linked otherwise, no pair is
+   compared twice in the same pair of homes, and the output stays linear. The
+   work is quadratic only in a bucket whose members do not link to one another.
 
 Full sets are made only for classes that share a bucket, in a second pass over
 their texts, and never carried through the band shuffle.
@@ -38,15 +42,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitlake.llm import words
-from transitlake.llm.common import cut, pieces
+from transitlake.llm.common import cut, pieces, rejoin
 from transitlake.llm.components import components
 
-BANDS, ROWS = 40, 5
+BANDS, ROWS = 50, 7
 #: Least share of equal minima that a pair needs before its sets are compared:
 #: six standard deviations below the share expected at the threshold.
 SIGMAS = 6
-#: Centres of a bucket in the rounds.
-CENTRES = (1, 16, 64, 256, 1024)
+#: Classes of a chunk of a home.
+CHUNK = 256
+#: Shingles whose columns are multiplied at a time.
+_COLUMNS = 4096
 
 _rng = np.random.default_rng(5)
 _A = (_rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
@@ -171,6 +177,110 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.select("a", "b", "ka", "kb").mapInArrow(linked, "hi long, lo long")
 
 
+def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all intersections of the left sets with the right ones."""
+    flat = np.concatenate([*left, *right])
+    key, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    # Only shingles of two sets or more can meet.
+    shared = np.full(len(key), -1)
+    shared[count > 1] = np.arange((count > 1).sum())
+    column = shared[column]
+    row = np.repeat(np.arange(len(left) + len(right)), [len(x) for x in (*left, *right)])
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    for s in range(0, int(shared.max(initial=-1)) + 1, _COLUMNS):
+        a, b = np.searchsorted(column, [s, s + _COLUMNS])
+        held = np.zeros((len(left) + len(right), _COLUMNS), np.float32)
+        held[row[a:b], column[a:b] - s] = 1
+        out += held[:len(left)] @ held[len(left):].T
+    return out.astype(np.int64)
+
+
+def _spanning(links: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join what earlier ones have not joined."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    out = []
+    for x, y in links.tolist():
+        p, q = find(x), find(y)
+        if p != q:
+            parent[max(p, q)] = min(p, q)
+            out.append((max(x, y), min(x, y)))
+    return out
+
+
+def _unit_of_work(percent: int):
+    def run(t: pa.Table) -> pa.Table:
+        side, comp = t.column("side").to_numpy(), t.column("c").to_numpy()
+        sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("shingles")]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if (side == 1).any() else left
+        both = _overlaps([sets[i] for i in left], [sets[i] for i in right])
+        size = np.array([len(x) for x in sets])
+        ok = 100 * both >= percent * (size[left][:, None] + size[right] - both)
+        ok &= comp[left][:, None] != comp[right]
+        i, j = np.nonzero(ok)
+        found = _spanning(np.unique(np.stack([comp[left][i], comp[right][j]], axis=1), axis=0))
+        return pa.table({"hi": pa.array([x for x, _ in found], pa.int64()),
+                         "lo": pa.array([y for _, y in found], pa.int64())})
+    return run
+
+
+def _hosted(rows: DataFrame, home: DataFrame) -> DataFrame:
+    """Homes smaller than a chunk moved into the largest home they meet.
+
+    Else each member of a large home would be sent to every small home it
+    meets. Any labels are right: pairs of homes are found from the buckets.
+    """
+    sizes = home.groupBy("home").agg(F.count("*").alias("n"))
+    met = rows.select("key", "v").join(home.select("v", "home"), "v").select("key", "home").distinct()
+    met = met.join(sizes, "home")
+    largest = met.groupBy("key").agg(F.max(F.struct("n", "home")).alias("host"))
+    host = rejoin(met, largest, "key").groupBy("home", "n").agg(F.max("host").alias("host"))
+    moved = host.filter((F.col("n") < CHUNK) & (F.col("host.n") > F.col("n"))).select("home", F.col("host.home").alias("to"))
+    return home.join(moved, "home", "left").select("v", "c", F.coalesce("to", "home").alias("home"))
+
+
+def _rest(members: DataFrame, comp: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between components that share a bucket, as edges of component ids."""
+    rows = members.join(comp, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("c"))
+    open_ = (rows.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y"), F.count("*").alias("size"))
+             .filter("x < y").select("key", "size"))
+    rows = cut(rejoin(rows, open_, "key"))
+    first = rows.groupBy("v", "c").agg(F.max(F.struct("size", "key"))["key"].alias("home"))
+    home = cut(_hosted(rows, cut(first)))
+    chunks = home.groupBy("home").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("k"))
+    met = rows.select("key", "v").join(home.select("v", "home"), "v").select("key", "home").distinct()
+    pairs = (met.select("key", F.col("home").alias("h1")).join(met.select("key", F.col("home").alias("h2")), "key")
+             .filter("h1 <= h2").select("h1", "h2").distinct()
+             .join(chunks.select(F.col("home").alias("h1"), F.col("k").alias("k1")), "h1")
+             .join(chunks.select(F.col("home").alias("h2"), F.col("k").alias("k2")), "h2"))
+    pairs = cut(pairs)
+    own = F.pmod(F.xxhash64("v"), F.col("k")).cast("int")
+    placed = home.join(chunks, "home").select("v", "c", "home", own.alias("o"))
+
+    def units(at: str, other: str, side: int) -> DataFrame:
+        """Rows of the homes on one side of a pair, once for each chunk of the other side."""
+        chunk = F.explode(F.sequence(F.lit(0), F.col(other) - 1)).alias("p")
+        x = placed.withColumnRenamed("home", at).join(pairs, at).select("h1", "h2", "v", "c", "o", chunk)
+        same, first = F.col("h1") == F.col("h2"), F.col("o") <= F.col("p")
+        one = F.when(same, F.least("o", "p")).otherwise(F.col("o") if side == 0 else F.col("p"))
+        two = F.when(same, F.greatest("o", "p")).otherwise(F.col("p") if side == 0 else F.col("o"))
+        rows_ = x if side == 0 else x.filter(~same)
+        return rows_.select("h1", "h2", one.alias("c1"), two.alias("c2"), "v", "c",
+                            F.when(same, F.when(first, 0).otherwise(1)).otherwise(side).alias("side"))
+
+    work = units("h1", "k2", 0).unionByName(units("h2", "k1", 1)).join(sets.select("v", "shingles"), "v")
+    return work.groupBy("h1", "h2", "c1", "c2").applyInArrow(_unit_of_work(percent), "hi long, lo long")
+
+
 def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5,
            percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
@@ -181,38 +291,20 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size
     sk = cut(sketch(docs, id_col, text_col, size))
     some = sk.filter("n_shingles > 0 AND doc_id IS NOT NULL")
     classes = some.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    placed = cut(some.drop("bands").join(classes, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "rep"))
+    placed = cut(rejoin(some.drop("bands"), classes, ["d1", "d2", "n_shingles"]).select("doc_id", "n_shingles", "rep"))
 
     reps = placed.filter("doc_id = rep").select("doc_id").distinct()
     rows = some.join(reps, "doc_id", "left_semi").select(F.explode("bands").alias("key"), F.col("doc_id").alias("v"))
     shared = rows.groupBy("key").agg(F.min("v").alias("x"), F.max("v").alias("y")).filter("x < y").select("key")
-    members = cut(rows.join(shared, "key", "left_semi").distinct())
+    members = cut(rejoin(rows, shared, "key", "left_semi").distinct())
     sets = cut(full_sets(docs, id_col, text_col, size, members.select("v").distinct()))
 
-    spark = docs.sparkSession
-    edges = spark.createDataFrame([], "hi long, lo long")
-    comp = spark.createDataFrame([], "v long, comp long")
-    turn = 0
-    while True:
-        live = members.join(comp, "v", "left").select("key", "v", F.coalesce("comp", "v").alias("c"))
-        split = live.groupBy("key").agg(F.min("c").alias("x"), F.max("c").alias("y")).filter("x < y").select("key")
-        live = cut(live.join(split, "key", "left_semi"))
-        if live.isEmpty():
-            break
-        slots = CENTRES[min(turn, len(CENTRES) - 1)]
-        slot = F.pmod(F.xxhash64("v", F.lit(turn)), F.lit(slots))
-        centres = (live.groupBy("key", slot.alias("slot")).agg(F.min(F.struct("v", "c")).alias("x"))
-                   .select("key", F.col("x.v").alias("cv"), F.col("x.c").alias("cc")))
-        centres = cut(centres)
-        pairs = (live.join(centres, "key").filter("c <> cc")
-                 .select(F.least("v", "cv").alias("a"), F.greatest("v", "cv").alias("b")).distinct())
-        found = cut(_confirm(pairs, sets, percent))
-        members = live.join(centres.select("key", F.col("cv").alias("v")), ["key", "v"], "left_anti").select("key", "v")
-        turn += 1
-        if not found.isEmpty():
-            # The components so far stand for the edges that made them.
-            edges = comp.select(F.col("v").alias("hi"), F.col("comp").alias("lo")).unionByName(found)
-            comp = components(edges)
+    centre = members.groupBy("key").agg(F.min("v").alias("a"))
+    pairs = rejoin(members, centre, "key").filter("v <> a").select("a", F.col("v").alias("b")).distinct()
+    comp = components(_confirm(pairs, sets, percent))
+    more = cut(_rest(members, comp, sets, percent))
+    if not more.isEmpty():
+        comp = components(comp.select(F.col("v").alias("hi"), F.col("comp").alias("lo")).unionByName(more))
 
     root = F.coalesce(F.col("comp"), F.col("rep"))
     out = (placed.join(comp.withColumnRenamed("v", "rep"), "rep", "left")
