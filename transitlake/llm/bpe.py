@@ -9,8 +9,11 @@ former and the others against the latter.
 
 ASCII white space cuts a text before anything else: the tokenizer drops white
 space, and neither its normaliser nor its pre-tokeniser reaches across it. The
-ids of such words and of fragments are memoised by the worker. Normalising and
-pre-tokenising use the tokenizer's own components; merges run here.
+ids of such words, of pre-tokens and of fragments are memoised by the worker.
+Normalising and pre-tokenising use the tokenizer's own components, but for
+words of ASCII signs and the letters U+00C0 to U+00FF, which composition leaves
+alone: those are lower-cased and matched with the file's pattern here. Merges
+run here.
 
 Decoding works from the ids alone: the tokens of the ids joined by the file's
 decoder (this vocabulary has none, so with single spaces), special tokens
@@ -37,7 +40,7 @@ from pyspark.sql import functions as F
 
 from transitlake.llm.cache import Memo
 
-#: Words and fragments that a worker keeps (twice as many at most).
+#: Words, pre-tokens and fragments that a worker keeps (twice as many at most).
 MEMO = 150_000
 _workers: dict[str, "ForcedBoundaryBPE"] = {}
 
@@ -53,6 +56,29 @@ def byte_letters() -> dict[int, str]:
     return out
 
 
+#: Fragments up to this length are merged without a heap.
+SHORT = 40
+_ID = 24
+_MASK = (1 << _ID) - 1
+_NO_MERGE = 1 << 62
+#: Words that normalising only lower-cases.
+_SIMPLE = re.compile("[!-~\u00c0-\u00ff]+")
+
+
+def _simple_pattern(spec: dict):
+    """The file's pre-token pattern, if it composes, lower-cases and matches, and nothing else."""
+    import regex
+    steps = [n["type"] for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    parts = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    if steps != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in parts] != ["Split", "ByteLevel"]:
+        return None
+    split, level = parts
+    if spec["normalizer"]["normalizers"][1] != {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "} \
+            or not split["invert"] or split["behavior"] != "Removed" or level["use_regex"] or level["add_prefix_space"]:
+        return None
+    return regex.compile(split["pattern"]["Regex"])
+
+
 class ForcedBoundaryBPE:
     """Encoder and decoder of a tokenizer file with a BPE model and an optional word end."""
 
@@ -69,10 +95,13 @@ class ForcedBoundaryBPE:
         self.pre_tokens = tok.pre_tokenizer.pre_tokenize_str
         self.vocab: dict[str, int] = model["vocab"]
         self.end = model.get("end_of_word_suffix") or ""
-        self.rank: dict[tuple[str, str], tuple[int, str]] = {}
+        # Pair of ids → rank and id of the merge, each packed into one integer.
+        self.rank: dict[int, int] = {}
         for i, m in enumerate(model["merges"]):
             a, b = m.split(" ") if isinstance(m, str) else m
-            self.rank[a, b] = (i, a + b)
+            self.rank[self.vocab[a] << _ID | self.vocab[b]] = i << _ID | self.vocab[a + b]
+        if any(c + e not in self.vocab for c in byte_letters().values() for e in ("", self.end)):
+            raise ValueError("the vocabulary must hold all 256 bytes")
         self.inner, self.last = self._pairs()
         added = spec.get("added_tokens") or []
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
@@ -81,7 +110,10 @@ class ForcedBoundaryBPE:
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         longest = sorted(self.added, key=len, reverse=True)
         self.literal = re.compile("|".join(map(re.escape, longest))) if longest else None
+        self.simple = _simple_pattern(spec)
+        self.letters = byte_letters()
         self.fragments = Memo(self._merge, memo)
+        self.known = Memo(self._pre_token, memo)
         self.words = Memo(self._word, memo)
         self.spoken = [self.token.get(i, "").encode() for i in range(max(self.token, default=-1) + 1)]
 
@@ -107,48 +139,73 @@ class ForcedBoundaryBPE:
             return [pre_token]
         return [pre_token[a:b] for a, b in zip([0, *at], [*at, n], strict=True)]
 
+    def _merge_short(self, parts: list[int]) -> tuple[int, ...]:
+        """Merges of a few letters: the list of pairs is searched each time."""
+        get = self.rank.get
+        pairs = [get(a << _ID | b, _NO_MERGE) for a, b in zip(parts, parts[1:], strict=False)]
+        while pairs:
+            best = min(pairs)
+            if best == _NO_MERGE:
+                break
+            i = pairs.index(best)
+            parts[i:i + 2] = [best & _MASK]
+            del pairs[i]
+            if i < len(pairs):
+                pairs[i] = get(parts[i] << _ID | parts[i + 1], _NO_MERGE)
+            if i:
+                pairs[i - 1] = get(parts[i - 1] << _ID | parts[i], _NO_MERGE)
+        return tuple(parts)
+
     def _merge(self, key: tuple[str, bool]) -> tuple[int, ...]:
         """Ids of one fragment; ``key[1]``: it ends its pre-token."""
         text, final = key
-        parts: list[str | None] = list(text)
+        parts: list[int | None] = [self.vocab[c] for c in text]
         if final:
-            parts[-1] += self.end
+            parts[-1] = self.vocab[text[-1] + self.end]
         n, rank = len(parts), self.rank
+        if n <= SHORT:
+            return self._merge_short(parts)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-        for i in range(n - 1):
-            found = rank.get((parts[i], parts[i + 1]))
-            if found:
-                heap.append((found[0], i, found[1]))
+        heap = [(found, i) for i in range(n - 1)
+                if (found := rank.get(parts[i] << _ID | parts[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            r, i, joined = heapq.heappop(heap)
+            found, i = heapq.heappop(heap)
             left, j = parts[i], after[i]
-            if left is None or j >= n or rank.get((left, parts[j]), (None,))[0] != r:
+            if left is None or j >= n or rank.get(left << _ID | parts[j]) != found:
                 continue
+            joined = found & _MASK
             parts[i], parts[j] = joined, None
             k = after[i] = after[j]
             if k < n:
                 before[k] = i
-                found = rank.get((joined, parts[k]))
-                if found:
-                    heapq.heappush(heap, (found[0], i, found[1]))
+                found = rank.get(joined << _ID | parts[k])
+                if found is not None:
+                    heapq.heappush(heap, (found, i))
             h = before[i]
             if h >= 0:
-                found = rank.get((parts[h], joined))
-                if found:
-                    heapq.heappush(heap, (found[0], h, found[1]))
-        return tuple(self.vocab[p] for p in parts if p is not None)
+                found = rank.get(parts[h] << _ID | joined)
+                if found is not None:
+                    heapq.heappush(heap, (found, h))
+        return tuple(p for p in parts if p is not None)
+
+    def _pre_token(self, pre_token: str) -> tuple[int, ...]:
+        pieces = self.cut(pre_token)
+        out: tuple[int, ...] = ()
+        for p in pieces[:-1]:
+            out += self.fragments[p, False]
+        return out + self.fragments[pieces[-1], True]
 
     def _plain(self, text: str) -> list[int]:
         out: list[int] = []
         if not text:
             return out
+        if self.simple and _SIMPLE.fullmatch(text):
+            for found in self.simple.findall(text.lower()):
+                out += self.known[found if found.isascii() else found.encode().decode("latin-1").translate(self.letters)]
+            return out
         for pre_token, _ in self.pre_tokens(self.normalise(text)):
-            pieces = self.cut(pre_token)
-            for p in pieces[:-1]:
-                out += self.fragments[p, False]
-            out += self.fragments[pieces[-1], True]
+            out += self.known[pre_token]
         return out
 
     def _word(self, word: bytes) -> bytes:
