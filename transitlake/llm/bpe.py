@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from transitlake.llm.cache import Memo
 
 #: Words, pre-tokens and fragments that a worker keeps (twice as many at most).
-MEMO = 150_000
+WORDS, PRE_TOKENS, FRAGMENTS = 100_000, 80_000, 30_000
 _workers: dict[str, "ForcedBoundaryBPE"] = {}
 
 
@@ -82,7 +82,7 @@ def _simple_pattern(spec: dict):
 class ForcedBoundaryBPE:
     """Encoder and decoder of a tokenizer file with a BPE model and an optional word end."""
 
-    def __init__(self, path: str, memo: int = MEMO):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -112,9 +112,9 @@ class ForcedBoundaryBPE:
         self.literal = re.compile("|".join(map(re.escape, longest))) if longest else None
         self.simple = _simple_pattern(spec)
         self.letters = byte_letters()
-        self.fragments = Memo(self._merge, memo)
-        self.known = Memo(self._pre_token, memo)
-        self.words = Memo(self._word, memo)
+        self.fragments = Memo(self._merge, FRAGMENTS)
+        self.known = Memo(self._pre_token, PRE_TOKENS)
+        self.words = Memo(self._word, WORDS)
         self.spoken = [self.token.get(i, "").encode() for i in range(max(self.token, default=-1) + 1)]
 
     def _pairs(self) -> tuple[set[str], set[str]]:
