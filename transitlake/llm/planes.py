@@ -20,8 +20,9 @@ index columns does not touch the planes.
 Ids come from the ``tokenizers`` library. Texts are cut where the byte-level
 pre-tokeniser is sure to cut (before a space that a visible character follows;
 between an ASCII letter and sentence punctuation), and the worker memoises the
-library's ids of the resulting pieces, which repeat a lot. The end id follows
-every document.
+library's ids of the resulting words and pieces, which repeat a lot. A piece of
+Latin letters alone is one pre-token and goes straight to the library's model.
+The end id follows every document.
 
 Defined cases: a null text is empty and gives the end id alone; a null
 ``doc_id`` comes first; rows with equal ids are ordered by a hash of the text;
@@ -43,45 +44,70 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from transitlake.llm.bpe import byte_letters
 from transitlake.llm.cache import Memo
 
 BLOCK_IDS = 1 << 16
 CHUNK_IDS = 1 << 17
 LEVEL = 1
 END_ID = 0
-#: Pieces that a worker keeps (twice as many at most).
-MEMO = 150_000
+#: Words and pieces that a worker keeps (twice as many at most).
+WORDS, PIECES = 250_000, 150_000
 
 SCHEMA = ("part int, chunk int, first long, n_ids long, n_docs int, doc_ids array<long>, "
           "lengths array<int>, plane_sizes array<int>, planes binary")
 
-_PIECE = re.compile(rb"(?= [!-~\xc3-\xdf\xe4-\xf4])|(?<=[A-Za-z])(?=[,.;:!?#$%&*\n])")
-_workers: dict[str, Memo] = {}
+_VISIBLE = rb"[!-~\xc3-\xdf\xe4-\xf4]"
+_PIECE = re.compile(rb"(?= " + _VISIBLE + rb")|(?<=[A-Za-z])(?=[,.;:!?#$%&*\n])")
+_ODD_SPACE = re.compile(rb" (?!" + _VISIBLE + rb")")
+_LETTERS = re.compile(rb" ?(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_workers: dict[str, "PieceEncoder"] = {}
 
 
-def encoder(path: str) -> Memo:
-    """Worker-wide memo: bytes of a piece → its ids as little-endian 32-bit integers."""
-    if path not in _workers:
+class PieceEncoder:
+    """The library's ids of a text, by way of memoised words and pieces."""
+
+    def __init__(self, path: str, words: int = WORDS, pieces: int = PIECES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        tok = Tokenizer.from_file(path)
-        tok.no_truncation()
-        tok.no_padding()
-        for t in tok.get_added_tokens_decoder().values():
-            if len(_PIECE.split(t.content.encode())) > 1 or t.lstrip or t.rstrip or t.single_word:
+        self.tok = Tokenizer.from_file(path)
+        self.tok.no_truncation()
+        self.tok.no_padding()
+        for t in self.tok.get_added_tokens_decoder().values():
+            if len(_PIECE.split(t.content.encode())) > 1 or t.lstrip or t.rstrip or t.single_word \
+                    or _LETTERS.fullmatch(t.content.encode()):
                 raise ValueError(f"the added token {t.content!r} could be cut")
-
-        def ids(piece: bytes) -> bytes:
-            found = tok.encode(piece.decode(), add_special_tokens=False).ids
-            return struct.pack(f"<{len(found)}I", *found)
-        _workers[path] = Memo(ids, MEMO)
+        self.letters = byte_letters()
+        self.pieces = Memo(self._piece, pieces)
+        self.words = Memo(self._word, words)
+
+    def _piece(self, piece: bytes) -> bytes:
+        if _LETTERS.fullmatch(piece):
+            found = [t.id for t in self.tok.model.tokenize(piece.decode("latin-1").translate(self.letters))]
+        else:
+            found = self.tok.encode(piece.decode(), add_special_tokens=False).ids
+        return struct.pack(f"<{len(found)}I", *found)
+
+    def _word(self, word: bytes) -> bytes:
+        """Ids of a word with the space before it."""
+        return b"".join(map(self.pieces.__getitem__, _PIECE.split(b" " + word)))
+
+    def encode(self, text: bytes) -> bytes:
+        """Ids as little-endian 32-bit integers."""
+        if _ODD_SPACE.search(text):
+            return b"".join(map(self.pieces.__getitem__, _PIECE.split(text)))
+        first, *rest = text.split(b" ")
+        head = b"".join(map(self.pieces.__getitem__, _PIECE.split(first)))
+        return head + b"".join(map(self.words.__getitem__, rest))
+
+
+def encoder(path: str) -> PieceEncoder:
+    """The worker's encoder of a byte-level BPE file."""
+    if path not in _workers:
+        _workers[path] = PieceEncoder(path)
     return _workers[path]
 
 
-def encode(memo: Memo, text: bytes) -> bytes:
-    return b"".join(map(memo.__getitem__, _PIECE.split(text)))
-
-
 def pack(ids: np.ndarray, kind: str, level: int) -> tuple[list[int], bytes]:
     """Plane sizes and compressed planes of one chunk."""
     import zstandard
@@ -136,7 +162,7 @@ def chunks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo, part = encoder(tokenizer), TaskContext.get().partitionId()
+        enc, part = encoder(tokenizer), TaskContext.get().partitionId()
         end = struct.pack("<I", END_ID)
         state = {"chunk": 0, "first": 0}
         ids, docs_in, lengths, held = [], [], [], 0
@@ -153,7 +179,7 @@ def chunks(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
         for batch in batches:
             names, texts = batch.column(0), batch.column(1).cast(pa.binary())
             for i in range(batch.num_rows):
-                found = encode(memo, texts[i].as_py() or b"") + end
+                found = enc.encode(texts[i].as_py() or b"") + end
                 ids.append(found)
                 docs_in.append(names[i].as_py())
                 lengths.append(len(found) // 4)
@@ -181,16 +207,23 @@ def write(docs: DataFrame, path: str, tokenizer: str, **options) -> None:
 def index(spark: SparkSession, path: str) -> DataFrame:
     """Chunk index with ``start``, the ids of the whole dataset before the chunk."""
     rows = spark.read.parquet(path).select("part", "chunk", "first", "n_ids", "n_docs", "plane_sizes")
-    per = rows.groupBy("part").agg(F.sum("n_ids").alias("held"))
+    return _with_start(rows, rows)
+
+
+def _with_start(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """``start`` from the parts' totals: one row per partition of the write, broadcast."""
+    per = ids.groupBy("part").agg(F.sum("n_ids").alias("held"))
     before = per.select("part", F.coalesce(F.sum("held").over(
         W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return rows.join(before, "part").withColumn("start", F.col("before") + F.col("first")).drop("before")
+    return (rows.join(F.broadcast(before), "part").withColumn("start", F.col("before") + F.col("first"))
+            .drop("before"))
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """One row per document: doc_id, start, ids (little-endian 32-bit integers)."""
-    data = spark.read.parquet(path).select("part", "chunk", "n_ids", "doc_ids", "lengths", "plane_sizes", "planes")
-    starts = index(spark, path).select("part", "chunk", "start")
+    rows = spark.read.parquet(path)
+    data = _with_start(rows.select("part", "first", "n_ids", "doc_ids", "lengths", "plane_sizes", "planes"),
+                       rows.select("part", "n_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -205,7 +238,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                      pa.array([raw[4 * a:4 * b] for a, b in zip(starts_, ends, strict=True)], pa.binary())],
                     ["doc_id", "start", "ids"])
 
-    return data.join(starts, ["part", "chunk"]).mapInArrow(run, "doc_id long, start long, ids binary")
+    return data.mapInArrow(run, "doc_id long, start long, ids binary")
 
 
 def digest(rows: DataFrame) -> DataFrame:
