@@ -101,7 +101,7 @@ def _data(m):
     return L.training_frame(FE.feature_matrix(m))
 
 
-def regression_comparison(m, include_forest: bool = False):
+def regression_comparison(m, include_forest: bool = True):
     """Test-set metrics of the mean baseline and each model."""
     data = _data(m)
     n_train = data.filter(~F.col("is_test")).count()
@@ -109,12 +109,12 @@ def regression_comparison(m, include_forest: bool = False):
     for name, est in L.regression_models(n_train).items():
         if name == "random_forest" and not include_forest:
             continue
-        _, pred = L.fit_predict(data, est)
+        _, pred = L.fit_model(data, est)
         out = out.unionByName(L.regression_metrics(pred).withColumn("model", F.lit(name)))
     return out
 
 
-def classification_comparison(m, include_forest: bool = False):
+def classification_comparison(m, include_forest: bool = True):
     """Accuracy, precision, recall, F1 and AUC per model."""
     data = _data(m)
     base = L.majority_baseline(data)
@@ -122,7 +122,7 @@ def classification_comparison(m, include_forest: bool = False):
     for name, est in L.classification_models().items():
         if name == "random_forest" and not include_forest:
             continue
-        _, pred = L.fit_predict(data, est)
+        _, pred = L.fit_model(data, est)
         pred = L.late_probability(pred)
         met = L.classification_metrics(pred).withColumn("auc", L.roc_auc(pred).scalar())
         out = out.unionByName(met.withColumn("model", F.lit(name)))
@@ -150,11 +150,7 @@ register("r15b_classification_metrics")(classification_comparison)
 def _forest(m, kind: str):
     data = _data(m)
     models = L.regression_models(1) if kind == "regression" else L.classification_models()
-    estimator = models["random_forest"]
-    for c in ("route_id", "stop_id"):
-        n = data.select(c).distinct().count()
-        estimator = estimator.setMaxBins(max(estimator.getMaxBins(), n + 2))
-    return L.fit_forest(data, estimator)
+    return L.fit_forest(data, models["random_forest"])
 
 
 register("r13_forest_regression")(lambda m: L.regression_metrics(_forest(m, "regression")[1]))
@@ -170,7 +166,7 @@ register("r14_forest_classification")(forest_classification)
 register("r18_feature_importance")(lambda m: L.importance_table(_forest(m, "regression")[0]))
 
 
-def cross_validation(m, include_forest: bool = False):
+def cross_validation(m, include_forest: bool = True):
     """5-fold CV over every complete feature row (lineage cut once)."""
     from transitlake.session import checkpoint_dir
     fm = FE.feature_matrix(m)
