@@ -39,3 +39,9 @@ def test_cross_validation_scores_every_model(frame):
     assert sorted((r["model"], r["fold"], r["metric"]) for r in rows) == sorted(
         (name, k, metric) for k in range(5)
         for name, metric in (("ridge_1", "mae"), ("random_forest_regressor", "mae"), ("random_forest_classifier", "f1")))
+
+
+def test_breakdowns_evaluate_the_forests(frame):
+    job = registry._MODEL_FNS
+    assert job["r22_precision_recall_summary"](None).first()["best_f1"] > 0.9
+    assert all(r["mae"] < 60 for r in job["r23b_error_by_delay_bucket"](None).collect())

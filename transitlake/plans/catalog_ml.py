@@ -135,20 +135,14 @@ def _logistic_pred(m):
     return L.late_probability(pred)
 
 
-def _linear_pred(m):
-    data = _data(m)
-    _, pred = L.fit_predict(data, L.regression_models(1)["linear"])
-    return pred
-
-
 register("r15_regression_metrics")(regression_comparison)
 register("r15b_classification_metrics")(classification_comparison)
 
 
 # The forests have the source's settings (200 trees, depth 15, leaf 10); their
 # training rows are bounded by ``L.FOREST_ROWS``.
-def _forest(m, kind: str):
-    data = _data(m)
+def _forest(m, kind: str, data=None):
+    data = _data(m) if data is None else data
     models = L.regression_models(1) if kind == "regression" else L.classification_models()
     return L.fit_forest(data, models["random_forest"])
 
@@ -158,7 +152,7 @@ register("r13_forest_regression")(lambda m: L.regression_metrics(_forest(m, "reg
 
 def forest_classification(m):
     """Metrics and AUC of the forest classifier."""
-    pred = L.late_probability(_forest(m, "classification")[1])
+    pred = _forest_cls_pred(m)
     return L.classification_metrics(pred).withColumn("auc", L.roc_auc(pred).scalar())
 
 
@@ -179,12 +173,29 @@ register("r19_cross_validation")(cross_validation)
 register("r16_best_regression_model")(lambda m: L.best_model(regression_comparison(m), "r2"))
 register("r17_roc_curve")(lambda m: L.roc_curve(_logistic_pred(m)))
 register("r17b_confusion_matrix")(lambda m: L.confusion_matrix(_logistic_pred(m)))
-register("r20_error_by_route")(lambda m: X.with_route_names(L.error_by_route(_linear_pred(m)), m.raw.routes))
+
+
+# The evaluation of the source's notebook 05: predictions of the forests on all test rows.
+def _forest_reg_pred(m, data=None):
+    return _forest(m, "regression", data)[1]
+
+
+def _forest_cls_pred(m, data=None):
+    return L.late_probability(_forest(m, "classification", data)[1])
+
+
+def route_priority(m):
+    """Both forests fitted on one split."""
+    data = _data(m)
+    table = L.route_priority(_forest_reg_pred(m, data), _forest_cls_pred(m, data))
+    return X.with_route_names(table, m.raw.routes)
+
+
+register("r20_error_by_route")(lambda m: X.with_route_names(L.error_by_route(_forest_reg_pred(m)), m.raw.routes))
 register("r21_classification_by_route")(
-    lambda m: X.with_route_names(L.classification_by(_logistic_pred(m), "route_id"), m.raw.routes))
-register("r21b_classification_by_hour")(lambda m: L.classification_by(_logistic_pred(m), "hour_of_day"))
-register("r22_precision_recall_summary")(lambda m: L.pr_summary(_logistic_pred(m)))
-register("r23_error_extremes")(lambda m: L.error_extremes(_linear_pred(m)))
-register("r23b_error_by_delay_bucket")(lambda m: L.error_by_delay_bucket(_linear_pred(m)))
-register("r24_route_priority")(
-    lambda m: X.with_route_names(L.route_priority(_linear_pred(m), _logistic_pred(m)), m.raw.routes))
+    lambda m: X.with_route_names(L.classification_by(_forest_cls_pred(m), "route_id"), m.raw.routes))
+register("r21b_classification_by_hour")(lambda m: L.classification_by(_forest_cls_pred(m), "hour_of_day"))
+register("r22_precision_recall_summary")(lambda m: L.pr_summary(_forest_cls_pred(m)))
+register("r23_error_extremes")(lambda m: L.error_extremes(_forest_reg_pred(m)))
+register("r23b_error_by_delay_bucket")(lambda m: L.error_by_delay_bucket(_forest_reg_pred(m)))
+register("r24_route_priority")(route_priority)
