@@ -45,3 +45,25 @@ def test_breakdowns_evaluate_the_forests(frame):
     job = registry._MODEL_FNS
     assert job["r22_precision_recall_summary"](None).first()["best_f1"] > 0.9
     assert all(r["mae"] < 60 for r in job["r23b_error_by_delay_bucket"](None).collect())
+
+
+def test_sample_bounds_only_the_classifiers_trees(frame):
+    data = L.split(frame).cache()
+    n = data.filter("NOT is_test").count()
+    model, _ = L.fit_forest(data, L.regression_models(1)["random_forest"], rows=20)
+    assert sum(t.numNodes for t in model.stages[-1].trees) > L.RF_TREES * 3  # 20 rows make one split a tree at most
+    everything = data.withColumn("stop_id", F.col("prediction_id"))
+    model, _ = L.fit_forest(everything, L.classification_models()["random_forest"], rows=50)
+    assert len(model.stages[1].labels) == n
+
+
+def test_sample_of_very_many_rows_is_not_empty(frame):
+    class Many:
+        def count(self):
+            return 5_000_000_000
+
+        def filter(self, cond):
+            return cond
+
+    assert str(4000 * 2**64 // 5_000_000_000 - 2**63) in str(L.forest_sample(Many(), rows=4000))
+    assert 100 < L.forest_sample(frame, rows=200).count() < 300

@@ -139,8 +139,8 @@ register("r15_regression_metrics")(regression_comparison)
 register("r15b_classification_metrics")(classification_comparison)
 
 
-# The forests have the source's settings (200 trees, depth 15, leaf 10); their
-# training rows are bounded by ``L.FOREST_ROWS``.
+# The forests have the source's settings (200 trees, depth 15, leaf 10); the
+# rows that fit the classifier's trees are bounded by ``L.FOREST_ROWS``.
 def _forest(m, kind: str, data=None):
     data = _data(m) if data is None else data
     models = L.regression_models(1) if kind == "regression" else L.classification_models()

@@ -12,7 +12,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
+from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -31,7 +31,7 @@ TEST_PCT = 20
 # Model settings of the source notebooks (fixed values).
 RIDGE_ALPHAS = (1.0, 10.0)
 RF_TREES, RF_DEPTH, RF_MIN_LEAF = 200, 15, 10
-# Training rows of a forest: more are sampled by hash, scoring covers all test rows.
+# Rows that fit a forest classifier's trees: more are sampled by hash, scoring covers all test rows.
 FOREST_ROWS = 4000
 
 
@@ -82,20 +82,26 @@ def classification_models() -> dict:
 
 
 def forest_sample(train: DataFrame, rows: int = FOREST_ROWS) -> DataFrame:
-    """At most about ``rows`` training rows, by a hash of the row key."""
-    h = F.pmod(F.xxhash64("prediction_id", "trip_id", "stop_id", "extracted_at", F.lit("forest")), F.lit(1_000_000))
-    return train.filter(h < int(min(1.0, rows / max(1, train.count())) * 1_000_000))
+    """At most about ``rows`` training rows, by a 64-bit hash of the row key."""
+    n = train.count()
+    if n <= rows:
+        return train
+    h = F.xxhash64("prediction_id", "trip_id", "stop_id", "extracted_at", F.lit("forest"))
+    return train.filter(h < F.lit(rows * 2**64 // n - 2**63))
 
 
 def fit_forest(data: DataFrame, estimator, rows: int = FOREST_ROWS) -> tuple:
-    """``fit_predict`` with the forest's bounded training sample; the
+    """``fit_predict`` for a forest: indexers, scaler and a regressor's trees
+    take all training rows, a classifier's trees the bounded sample. The
     predictions are written once, whatever reads them."""
     from transitlake.session import checkpoint_dir
     for c in CATEGORICAL_FEATURES:
         n = data.select(c).distinct().count()
         estimator = estimator.setMaxBins(max(estimator.getMaxBins(), n + 2))
-    train = forest_sample(data.filter(~F.col("is_test")), rows)
-    model = Pipeline(stages=_prep_stages() + [estimator]).fit(train)
+    train = data.filter(~F.col("is_test"))
+    prep = Pipeline(stages=_prep_stages()).fit(train)
+    sample = forest_sample(train, rows) if isinstance(estimator, RandomForestClassifier) else train
+    model = PipelineModel([*prep.stages, estimator.fit(prep.transform(sample))])
     checkpoint_dir(data.sparkSession)
     return model, model.transform(data.filter(F.col("is_test"))).checkpoint(eager=True)
 
