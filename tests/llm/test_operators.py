@@ -184,6 +184,30 @@ def test_warc_empty(session):
     assert session.read.format("warc").load(path).count() == 0
 
 
+def test_warc_appends_add_and_overwrite_replaces(session):
+    warc.register(session)
+    path = scratch(session, "warc")
+
+    def write(ids, mode):
+        pages = session.createDataFrame([(i, f"http://{i}/", f"<p>{i}") for i in ids], "page_id long, url string, html string")
+        rows = warc.page_records(pages, f"{scratch(session, 'warc')}-k")
+        rows.repartition(2).write.format("warc").mode(mode).save(path)
+        return {r.page_id for r in warc.page_digest(session.read.format("warc").load(path)).collect()}
+
+    assert write([1, 2], "append") == {1, 2}
+    assert write([3], "append") == {1, 2, 3}
+    assert write([], "append") == {1, 2, 3}
+    assert write([4, 5], "overwrite") == {4, 5}
+
+
+def test_warc_append_keeps_archives_made_elsewhere(session, tmp_path):
+    warc.register(session)
+    (tmp_path / "a.warc.gz").write_bytes(warc.member(warc.record("response", "urn:x:1", "http://a/", b"y")))
+    pages = session.createDataFrame([(2, "http://b/", "z")], "page_id long, url string, html string")
+    warc.page_records(pages, f"{scratch(session, 'warc')}-k").write.format("warc").mode("append").save(str(tmp_path))
+    assert session.read.format("warc").load(str(tmp_path)).filter("warc_type = 'response'").count() == 2
+
+
 # Quality model
 
 def test_quality_model_learns_and_scores_oddities(session, odd, nothing):

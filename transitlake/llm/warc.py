@@ -7,8 +7,10 @@ payload_digest, payload_length) and makes one file or more per task. Records
 are gzip members of their own; a member's extra field ``sl`` (skip lengths)
 holds its compressed and uncompressed size, so a reader can step over it. A
 task writes to names of its own and reports them; the driver's commit writes
-the list of files, and only listed files are read, so failed and repeated
-tasks leave nothing behind that counts. An abort removes them.
+a list of files of its own, and only files of any list are read, so failed and
+repeated tasks leave nothing behind that counts. An abort removes them. An
+append to a folder without lists lists the archives that lie there too; only
+an overwrite removes the lists and archives of earlier writes.
 
 *Reading* plans partitions from the list (or the folder, for archives made
 elsewhere): files are packed into partitions of about ``partition_bytes``.
@@ -45,7 +47,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import (DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, Filter, In,
                                     InputPartition, IsNotNull, IsNull, StringStartsWith, WriterCommitMessage)
 
-LIST = "_files.json"
+LIST = "_files"
 FILE_BYTES = 128 << 20
 PARTITION_BYTES = 64 << 20
 LEVEL = 6
@@ -245,12 +247,8 @@ class WarcReader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, at = _open(self.path)
-        if fs.get_file_info(f"{at}/{LIST}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{at}/{LIST}") as f:
-                found = [(x["name"], x["bytes"]) for x in json.loads(f.read())["files"]]
-        else:
-            found = [(i.base_name, i.size) for i in fs.get_file_info(pafs.FileSelector(at))
-                     if i.base_name.endswith((".warc", ".warc.gz"))]
+        lists, files = _listed(fs, at)
+        found = [(x["name"], x["bytes"]) for x in (files if lists else _archives(fs, at))]
         out: list[list[str]] = []
         room = 0
         for name, size in sorted(found):
@@ -288,16 +286,37 @@ class WarcReader(DataSourceReader):
             yield pa.RecordBatch.from_pylist(rows, schema)
 
 
+def _listed(fs: pafs.FileSystem, at: str) -> tuple[list[str], list[dict]]:
+    """The folder's lists and the files of all of them."""
+    there = fs.get_file_info(pafs.FileSelector(at, allow_not_found=True))
+    lists = [i.base_name for i in there if i.base_name.startswith(LIST) and i.base_name.endswith(".json")]
+    files: dict[str, dict] = {}
+    for name in lists:
+        with fs.open_input_stream(f"{at}/{name}") as f:
+            files |= {x["name"]: x for x in json.loads(f.read())["files"]}
+    return lists, list(files.values())
+
+
+def _archives(fs: pafs.FileSystem, at: str) -> list[dict]:
+    return [{"name": i.base_name, "bytes": i.size} for i in fs.get_file_info(pafs.FileSelector(at, allow_not_found=True))
+            if i.base_name.endswith((".warc", ".warc.gz"))]
+
+
 @dataclass
 class Written(WriterCommitMessage):
     files: list[dict]
 
 
 class WarcWriter(DataSourceArrowWriter):
-    def __init__(self, options: dict):
+    def __init__(self, options: dict, overwrite: bool):
         self.path = options["path"].rstrip("/")
         self.level = int(options.get("level", LEVEL))
         self.file_bytes = int(options.get("file_bytes", FILE_BYTES))
+        self.overwrite = overwrite
+        fs, at = _open(self.path)
+        lists, _ = _listed(fs, at)
+        # Archives made elsewhere: read as they are while no list is there.
+        self.unlisted = [] if lists else _archives(fs, at)
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, at = _open(self.path)
@@ -326,8 +345,14 @@ class WarcWriter(DataSourceArrowWriter):
         fs, at = _open(self.path)
         fs.create_dir(at, recursive=True)
         files = [x for m in messages if m is not None for x in m.files]
-        with fs.open_output_stream(f"{at}/{LIST}") as f:
+        lists, old = _listed(fs, at)
+        if not self.overwrite:
+            files += self.unlisted
+        with fs.open_output_stream(f"{at}/{LIST}-{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps({"files": files}).encode())
+        if self.overwrite:
+            for name in [*lists, *(x["name"] for x in [*old, *self.unlisted])]:
+                fs.delete_file(f"{at}/{name}")
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, at = _open(self.path)
@@ -351,7 +376,7 @@ class WarcSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:
