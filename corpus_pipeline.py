@@ -7,7 +7,8 @@ stages but the last return the columns they were given, extra ones included.
 
 Defined cases, besides those of the operators: an empty table passes through
 every stage; a row with a null id is classified, never taken for a duplicate,
-mixed and encoded; rows that repeat an id and a source are mixed alike.
+mixed and encoded; rows that repeat an id are documents of their own, so each
+is kept or not by its own text and played as often as the mix plays it.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from transitlake.llm import bpe, catalog, minhash, mixing, quality_model, suffixes
-from transitlake.llm.common import crc_mod, prepare, scratch, table
+from transitlake.llm.common import crc_mod, cut, prepare, scratch, table
 
 TOKENIZER = "word_bpe_49k.json"
 LEAST_SCORE = 0.5
@@ -31,11 +32,21 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("_score") >= LEAST_SCORE).select(*docs.columns)
 
 
+def _repeat(docs: DataFrame, *columns: str) -> bool:
+    return not docs.groupBy(*columns).count().filter("count > 1").isEmpty()
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The first document of every near-duplicate group (five-word shingles, similarity 0.8)."""
     prepare(spark)
-    gone = minhash.groups(docs).filter("NOT kept").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows, key = docs, "doc_id"
+    if _repeat(docs.filter("doc_id IS NOT NULL"), "doc_id"):
+        # Row numbers in order of id stand for ids that repeat.
+        text = F.xxhash64("text")
+        rows, key = docs.repartitionByRange("doc_id", text).sortWithinPartitions("doc_id", text), "_row"
+        rows = cut(rows.withColumn(key, F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+    gone = minhash.groups(rows, id_col=key).filter("NOT kept").select(F.col("doc_id").alias(key))
+    return rows.join(gone, key, "left_anti").select(*docs.columns)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,10 +61,14 @@ def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix plays them."""
     prepare(spark)
-    plays = (mixing.mix(docs, keep=["source"]).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_source"))
-             .agg(F.max("times").alias("_times")).filter("_times > 0"))
-    same = docs["doc_id"].eqNullSafe(plays["_id"]) & docs["source"].eqNullSafe(plays["_source"])
     again = F.explode(F.array_repeat(F.lit(0), F.col("_times")))
+    if _repeat(docs, "doc_id", "source"):
+        rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()))
+        plays = mixing.mix(rows, keep=["_row"]).filter("times > 0").select("_row", F.col("times").alias("_times"))
+        return rows.join(plays, "_row").select(*docs.columns, again.alias("_play")).select(*docs.columns)
+    plays = mixing.mix(docs, keep=["source"]).filter("times > 0").select(
+        F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("times").alias("_times"))
+    same = docs["doc_id"].eqNullSafe(plays["_id"]) & docs["source"].eqNullSafe(plays["_source"])
     return docs.join(plays, same).select(*docs.columns, again.alias("_play")).select(*docs.columns)
 
 

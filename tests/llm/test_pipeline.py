@@ -74,3 +74,25 @@ def test_stages_take_odd_and_empty_tables(session, odd, nothing):
         assert out.count() > 0
         if name != "bpe_encode":
             assert out.columns == odd.columns
+
+
+def test_rows_that_repeat_an_id_have_verdicts_of_their_own(session):
+    words = lambda a, n: " ".join(f"{a}{i}" for i in range(n))
+    one, near, other = words("a", 200), words("a", 199) + " end", words("c", 200)
+    docs = session.createDataFrame([(1, one), (5, near), (5, other), (7, other), (8, words("d", 50)), (8, words("d", 50)),
+                                    (None, one), (None, one)], "doc_id long, text string")
+    out = corpus_pipeline.near_dedup(session, docs, SF_SMALL).collect()
+    assert sorted((r.doc_id or 0, r.text) for r in out) == sorted(
+        [(0, one), (0, one), (1, one), (5, other), (8, words("d", 50))])
+
+
+def test_rows_that_repeat_an_id_are_played_within_the_budget(session):
+    rows = [(None if i % 2 else 1, "word " * 10, "ab"[i % 3 == 0]) for i in range(90)]
+    docs = session.createDataFrame(rows, "doc_id long, text string, source string")
+    times = {(r.doc_id, r.source): r["sum(times)"] for r in mixing.mix(docs, keep=["source"])
+             .groupBy("doc_id", "source").sum("times").collect()}
+    played = corpus_pipeline.mix_sources(session, docs, SF_SMALL)
+    assert played.columns == docs.columns and played.count() <= 90
+    per = {r.source: r["count"] for r in played.groupBy("source").count().collect()}
+    for source, n in per.items():
+        assert n == sum(t for (_, s), t in times.items() if s == source)
