@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from transitlake.llm import bpe, langid, minhash, mixing, planes, quality_model, quality_rules, suffixes, vectors, warc
+from transitlake.llm import (bpe, centroids, decontaminate, infill, langid, minhash, mixing, planes, quality_model,
+                             quality_rules, suffixes, vectors, warc)
 from transitlake.llm.common import crc_mod, prepare, scratch, table
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -154,3 +155,107 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     records.write.format("warc").mode("append").save(path)
     read = spark.read.format("warc").load(path).filter(F.col("warc_type").isin("response", "revisit"))
     return warc.page_digest(read)
+
+
+_LEAK_SQL = """
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents),
+b AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''),
+           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark),
+bw AS (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item, least(len(w), 10) AS k,
+         array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS gram
+  FROM b, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS t(i) WHERE len(w) > 0),
+dw AS (
+  SELECT rid, i, k, array_to_string(w[i : i + k - 1], ' ') AS gram
+  FROM d, (SELECT DISTINCT k FROM bw), unnest(range(1, len(w) - k + 2)) AS t(i) WHERE len(w) >= k),
+found AS (SELECT DISTINCT rid, i, k, item FROM dw JOIN bw USING (k, gram)),
+hit AS (SELECT rid, count(DISTINCT j) AS n FROM found, unnest(range(i, i + k)) AS t(j) GROUP BY rid),
+items AS (SELECT rid, count(*) AS n, string_agg(item, ',' ORDER BY item) AS names
+          FROM (SELECT DISTINCT rid, item FROM found WHERE item IS NOT NULL) GROUP BY rid)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit,
+       coalesce(items.n, 0)::BIGINT AS n_items, sha256(coalesce(items.names, '')) AS items_sha256,
+       coalesce(hit.n, 0) > 0 AS contaminated
+FROM d LEFT JOIN hit ON d.rid = hit.rid LEFT JOIN items ON d.rid = items.rid
+"""
+
+
+@job("op11_fm_index_leaks", _LEAK_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every whole text that stand in a benchmark passage, and its items."""
+    found = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
+    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+                        (F.size("spans") > 0).alias("contaminated"))
+
+
+def _assign_sql(n: int) -> str:
+    """Distances to the centroids of round n, the nearest, and the centroids of the next round."""
+    return f"""
+d{n} AS (SELECT rid, c, sum((q - m) * (q - m)) AS dist FROM x JOIN c{n} USING (d) GROUP BY rid, c),
+a{n} AS (SELECT rid, dist, c FROM d{n} QUALIFY row_number() OVER (PARTITION BY rid ORDER BY dist, c) = 1),
+c{n + 1} AS (
+  SELECT c{n}.c, c{n}.d, coalesce(s.m, c{n}.m) AS m
+  FROM c{n} LEFT JOIN (SELECT c, d, (sum(q) - ((sum(q) % count(*)) + count(*)) % count(*)) // count(*) AS m
+                       FROM x JOIN a{n} USING (rid) GROUP BY c, d) s ON c{n}.c = s.c AND c{n}.d = s.d)"""
+
+
+_CENTROID_SQL = f"""
+WITH e AS (
+  SELECT row_number() OVER () AS rid, vec_id, embedding FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda v: v IS NOT NULL AND isfinite(v))) = 64),
+x AS (
+  SELECT rid, i AS d, floor(64 * CAST(embedding[i] AS DOUBLE))::BIGINT AS q
+  FROM e, unnest(range(1, 65)) AS t(i)),
+first AS (
+  SELECT rid, row_number() OVER (ORDER BY sha256('1:' || CAST(vec_id AS VARCHAR)), embedding) - 1 AS c
+  FROM e QUALIFY c < 16),
+c0 AS (SELECT c, d, q AS m FROM first JOIN x USING (rid)),{",".join(_assign_sql(n) for n in range(4))},
+s AS (SELECT c, sum(dist) AS cluster_inertia FROM a3 GROUP BY c),
+h AS (SELECT c, sha256(string_agg(CAST(m AS VARCHAR), ',' ORDER BY d)) AS centroid_sha256 FROM c3 GROUP BY c)
+SELECT vec_id, a3.c::INT AS cluster, dist::BIGINT AS distance, cluster_inertia::BIGINT AS cluster_inertia,
+       (SELECT sum(dist) FROM a3)::BIGINT AS inertia, centroid_sha256
+FROM e JOIN a3 USING (rid) JOIN s ON a3.c = s.c JOIN h ON a3.c = h.c
+"""
+
+
+@job("op12_scalar_tables", _CENTROID_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors in sixteen clusters after three rounds, with exact distances and inertias."""
+    found, centres = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(found, centres)
+
+
+_INFILL_SQL = """
+WITH h AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS s FROM documents),
+k AS (
+  SELECT *, ('0x' || s[1:8])::BIGINT % (n + 1) AS k1, ('0x' || s[9:16])::BIGINT % (n + 1) AS k2,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>')
+                   OR ('0x' || s[17:24])::BIGINT % 100 >= 90 THEN 'plain'
+              WHEN ('0x' || s[25:32])::BIGINT % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM h),
+p AS (
+  SELECT *, substr(t, 1, least(k1, k2)) AS pre, substr(t, least(k1, k2) + 1, abs(k1 - k2)) AS mid,
+         substr(t, greatest(k1, k2) + 1) AS suf FROM k)
+SELECT doc_id, n::BIGINT AS n, form,
+       CASE WHEN form <> 'plain' THEN least(k1, k2) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN abs(k1 - k2) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM p
+"""
+
+
+@job("op13_rank_index_infill", _INFILL_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text cut into prefix, middle and suffix, reordered and rebuilt."""
+    made = infill.restore(infill.transform(table(spark, sf_dir, "documents")))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                       F.sha2("output", 256).alias("output_sha256"), F.sha2("text", 256).alias("restored_sha256"))
