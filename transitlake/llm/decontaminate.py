@@ -75,6 +75,16 @@ def _runs(lengths: np.ndarray) -> np.ndarray:
     return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
 
 
+def _slices(sizes: np.ndarray, limit: int) -> Iterator[slice]:
+    """Ranges of entries whose sizes add up to about ``limit`` (one entry at least)."""
+    total = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        end = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, side="right")))
+        yield slice(at, end)
+        at = end
+
+
 def windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", size: int = SIZE) -> DataFrame:
     """(item, words): the distinct windows of each item as word hashes."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,11 +150,8 @@ class Phrases:
         run = np.repeat(np.arange(len(begin)), chunks)
         ahead = CHUNK * _runs(chunks)
         begin, length = begin[run] + ahead, np.minimum(length[run] - ahead, CHUNK + most - 1)
-        total = np.cumsum(length + 1)
-        cuts = np.searchsorted(total, np.arange(0, total[-1] if len(total) else 0, SHARD))
-        for a, b in zip(cuts, np.append(cuts[1:], len(begin)), strict=True):
-            if a < b:
-                yield from self._shard(number, begin[a:b], length[a:b])
+        for s in _slices(length + 1, SHARD):
+            yield from self._shard(number, begin[s], length[s])
 
     def _shard(self, number: np.ndarray, begin: np.ndarray, length: np.ndarray):
         offset = _runs(length + 1)
@@ -161,12 +168,9 @@ class Phrases:
         able = np.flatnonzero(((rows > 0) | (self.rows == 0)).all(axis=1))
         which, low, high = index.search(rows[able], self.lengths[able])
         which, count = able[which], high - low
-        done = np.cumsum(count)
-        cuts = np.searchsorted(done, np.arange(0, done[-1] if len(done) else 0, LOCATE))
-        for a, b in zip(cuts, np.append(cuts[1:], len(which)), strict=True):
-            if a < b:
-                suffix = np.repeat(low[a:b], count[a:b]) + _runs(count[a:b])
-                yield np.repeat(which[a:b], count[a:b]), origin[index.locate(suffix)]
+        for s in _slices(count, LOCATE):
+            suffix = np.repeat(low[s], count[s]) + _runs(count[s])
+            yield np.repeat(which[s], count[s]), origin[index.locate(suffix)]
 
 
 def _search(part: pa.RecordBatch, phrases: Phrases, head: list[str], names: list[str]) -> pa.RecordBatch:

@@ -74,7 +74,7 @@ def suffix_order(symbols: np.ndarray, to_end: np.ndarray) -> np.ndarray:
     """Places of the suffixes in order; ``to_end``: distance to the chunk's terminator."""
     n = len(symbols)
     width = max(1, int(symbols.max(initial=0)).bit_length())
-    h = min(8, 63 // width)
+    h = min(8, 63 // width, max(1, n))
     key = np.zeros(n, np.int64)
     for j in range(h):
         # Behind its terminator a suffix holds nothing.
