@@ -35,3 +35,4 @@ from transitlake.plans import catalog_sources  # noqa: F401,E402
 from transitlake.plans import catalog_derived  # noqa: F401,E402
 from transitlake.plans import catalog_ml  # noqa: F401,E402
 from transitlake.plans import catalog_explore  # noqa: F401,E402
+from transitlake.plans import catalog_pairs  # noqa: F401,E402

@@ -174,17 +174,8 @@ def route_text_by_stop(m) -> DataFrame:
                  F.countDistinct("route_id").alias("routes_served")))
 
 
-def search_stops(m, query: str, limit: int = 15, compat: bool = False) -> DataFrame:
-    """Score every public stop against a free-text query.
-
-    score = (120 exact | 90 phrase in stop text) + 12·tokens in stop text
-    + 8·tokens in route text + 70 if the phrase is in the route text
-    + (10 station | 8 stop); tokens are distinct words of ≥3 characters.
-    Token matching uses higher-order functions per row — no join against a
-    token table.
-    """
-    q = normalize_query(F.lit(query), compat)
-    tokens = F.array_distinct(F.filter(F.split(q, " "), lambda t: F.length(t) >= 3))
+def stop_texts(m) -> DataFrame:
+    """Public stops with the texts that a search reads (``stop_text``, ``route_text``)."""
     st = m.raw.stops.filter(F.col("name").isNotNull() & F.col("latitude").isNotNull()
                             & F.col("longitude").isNotNull()
                             & ~F.col("stop_id").startswith("node-") & ~F.col("stop_id").startswith("door-"))
@@ -194,24 +185,51 @@ def search_stops(m, query: str, limit: int = 15, compat: bool = False) -> DataFr
                    F.lower(F.concat_ws(" ", F.coalesce("name", F.lit("")),
                                        F.coalesce("municipality", F.lit("")),
                                        F.coalesce("stop_id", F.lit("")))).alias("stop_text"))
-    j = st.join(route_text_by_stop(m), "stop_id", "left")
-    stxt, rtxt = F.col("stop_text"), F.coalesce("route_text", F.lit(""))
+    return st.join(route_text_by_stop(m), "stop_id", "left").withColumns(
+        {"route_text": F.coalesce("route_text", F.lit("")), "routes_served": F.coalesce("routes_served", F.lit(0))})
+
+
+def query_tokens(q) -> F.Column:
+    """Distinct words of at least three characters of a normalised query."""
+    return F.array_distinct(F.filter(F.split(q, " "), lambda t: F.length(t) >= 3))
+
+
+def match_score(q, tokens) -> F.Column:
+    """Points of a row of ``stop_texts``; a NULL phrase ``q`` earns none."""
+    stxt, rtxt, lt = F.col("stop_text"), F.col("route_text"), F.col("location_type")
     n_stop = F.size(F.filter(tokens, lambda t: stxt.contains(t)))
     n_route = F.size(F.filter(tokens, lambda t: rtxt.contains(t)))
+    return (F.when(stxt == q, 120).when(stxt.contains(q), 90).otherwise(0)
+            + n_stop * 12 + n_route * 8
+            + F.when(rtxt.contains(q), 70).otherwise(0)
+            + F.when(lt == 1, 10).when(lt == 0, 8).otherwise(0))
+
+
+def match_order() -> list[F.Column]:
+    """Best match first: points, routes served, stations before stops, name, id."""
     lt = F.col("location_type")
-    score = (F.when(stxt == q, 120).when(stxt.contains(q), 90).otherwise(0)
-             + n_stop * 12 + n_route * 8
-             + F.when(rtxt.contains(q), 70).otherwise(0)
-             + F.when(lt == 1, 10).when(lt == 0, 8).otherwise(0))
+    return [F.col("match_score").desc(), F.col("routes_served").desc(),
+            F.when(lt == 1, 0).when(lt == 0, 1).otherwise(2),
+            F.col("stop_name").asc_nulls_first(), F.col("stop_id").asc()]
+
+
+def search_stops(m, query: str, limit: int = 15, compat: bool = False) -> DataFrame:
+    """Score every public stop against a free-text query.
+
+    score = (120 exact | 90 phrase in stop text) + 12·tokens in stop text
+    + 8·tokens in route text + 70 if the phrase is in the route text
+    + (10 station | 8 stop); tokens are distinct words of ≥3 characters.
+    Token matching uses higher-order functions per row — no join against a
+    token table.
+    """
+    q = normalize_query(F.lit(query), compat)
+    stxt, rtxt = F.col("stop_text"), F.col("route_text")
     source = (F.when(stxt.contains(q), F.lit("stop_name"))
               .when(rtxt.contains(q), F.lit("route_name")).otherwise(F.lit("token_match")))
-    s = j.select("stop_id", "stop_name", "municipality", "latitude", "longitude", "location_type",
-                 "location_type_desc", F.coalesce("routes_served", F.lit(0)).alias("routes_served"),
-                 score.alias("match_score"), source.alias("match_source"))
-    s = s.filter(F.col("match_score") > 0)
-    loc_rank = F.when(lt == 1, 0).when(lt == 0, 1).otherwise(2)
-    return top(s, limit, F.col("match_score").desc(), F.col("routes_served").desc(), loc_rank,
-               F.col("stop_name").asc_nulls_first(), F.col("stop_id").asc())
+    s = stop_texts(m).select("stop_id", "stop_name", "municipality", "latitude", "longitude", "location_type",
+                             "location_type_desc", "routes_served",
+                             match_score(q, query_tokens(q)).alias("match_score"), source.alias("match_source"))
+    return top(s.filter(F.col("match_score") > 0), limit, *match_order())
 
 
 def stop_routes(m, stop_id: str) -> DataFrame:

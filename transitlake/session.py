@@ -12,7 +12,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 UTC = "UTC"
 
@@ -50,6 +50,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared checkpoint folder, where several readers and retries find it."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def local_session(app: str = "transitlake", cores: int | str = "*",
                   shuffle_partitions: int = 8) -> SparkSession:
     """A local session for tests and the bench (UI off, UTC, AQE on)."""

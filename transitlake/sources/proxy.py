@@ -348,6 +348,21 @@ class RawTables:
         return c.filter(F.col("role") == "user").select(
             F.col("conv_id").alias("message_id"), F.col("turn"), F.col("text"))
 
+    @cached_property
+    def trip_requests(self) -> DataFrame:
+        """Rider messages that name a stop and a municipality (one customer in ten asks something else)."""
+        s = self.driver.read("supplier").select("s_suppkey", "s_name")
+        n = F.broadcast(self.driver.read("nation").select("n_nationkey", "n_name"))
+        c = self.driver.read("customer").select("c_custkey", "c_nationkey")
+        k = F.col("c_custkey")
+        stops = s.agg(F.count(F.lit(1))).scalar()
+        c = c.join(s, k % stops == s.s_suppkey, "left").join(n, c.c_nationkey == n.n_nationkey, "left")
+        tail = _pick((k % 3).cast("int"), [" now", "? Thanks", " please"])
+        trip = F.concat(F.lit("How do I get from "), F.coalesce("s_name", F.lit("here")), F.lit(" to "),
+                        F.coalesce("n_name", F.lit("there")), tail)
+        return c.select(k.alias("message_id"),
+                        F.when(k % 10 == 9, F.lit("Any delays on the red line")).otherwise(trip).alias("text"))
+
     def entity(self, name: str) -> DataFrame:
         from transitlake.sources.schemas import entity
         entity(name)
