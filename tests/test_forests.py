@@ -1,5 +1,7 @@
 """The jobs that fit random forests, over a frame that only a forest learns."""
 
+import tempfile
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -55,6 +57,34 @@ def test_sample_bounds_only_the_classifiers_trees(frame):
     everything = data.withColumn("stop_id", F.col("prediction_id"))
     model, _ = L.fit_forest(everything, L.classification_models()["random_forest"], rows=50)
     assert len(model.stages[1].labels) == n
+    assert "scaler" not in str(model.stages).lower()
+
+
+def test_one_fit_serves_every_evaluation(frame, spark, monkeypatch):
+    from transitlake.plans import fits
+    store = fits.FitStore(spark, tempfile.mkdtemp(prefix="fits-"))
+    calls = []
+    real = L.fit_forest
+    monkeypatch.setattr(L, "fit_forest", lambda *a, **k: calls.append(1) or real(*a, **k))
+    data, est = L.split(frame), L.regression_models(1)["random_forest"]
+    one, two = store.fit(data, est), store.fit(data.repartition(7), est)
+    assert one.fresh and not two.fresh and one.path == two.path and len(calls) == 1
+    assert one.predictions.count() == data.filter("is_test").count() and "features" not in one.predictions.columns
+    again = one.model.transform(data.filter("is_test")).select("prediction_id", "prediction")
+    assert again.exceptAll(two.predictions.select("prediction_id", "prediction")).count() == 0
+    assert abs(sum(r["importance"] for r in two.importances.collect()) - 1) < 1e-6
+    # Other rows or other settings are other fits.
+    assert store.fit(data.filter("prediction_id < 500"), est).fresh
+    assert store.fit(data, est.copy().setNumTrees(3)).fresh and len(calls) == 3
+
+
+def test_curves_and_reports_of_the_best_classifier(frame):
+    job = registry._MODEL_FNS
+    assert {r["model"] for r in job["r17_roc_curve"](None).select("model").distinct().collect()} == {"logistic", "random_forest"}
+    for key in ("r17b_confusion_matrix", "r17f_best_class_report"):
+        assert {r["model"] for r in job[key](None).collect()} == {"random_forest"}, key
+    assert job["r16b_residual_statistics"](None).first()["model"] == "random_forest"
+    assert job["r22b_precision_recall_curve"](None).agg(F.max("recall")).first()[0] == 1.0
 
 
 def test_sample_of_very_many_rows_is_not_empty(frame):

@@ -132,3 +132,17 @@ SELECT hour_of_day, count(*) AS n, {rnd('avg((target_is_late = said)::INTEGER::D
   {rnd('count(*) FILTER (target_is_late = 1 AND said = 1) / nullif(count(*) FILTER (target_is_late = 1), 0)', 4)} AS recall
 FROM c GROUP BY hour_of_day""")(lambda m: L.classification_by(_classes(m), "hour_of_day"))
 
+# The median is the middle order statistic (the lower of two), as a sketch gives it for fewer rows than its accuracy.
+register("r16f_residual_formula", f"""
+WITH {_PRED_SQL}, e AS (SELECT guess - target_delay_seconds AS e FROM p)
+SELECT {rnd('avg(e)', 3)} AS mean_residual, {rnd('stddev_samp(e)', 3)} AS std_residual,
+  {rnd('quantile_disc(e, 0.5)', 3)} AS median_residual, {rnd('min(e)', 3)} AS min_residual,
+  {rnd('max(e)', 3)} AS max_residual FROM e""")(lambda m: L.residual_stats(_regression(m)))
+
+register("r22f_pr_curve_formula", f"""
+WITH {_PRED_SQL}, t AS (SELECT probability_late AS threshold, sum(target_is_late) AS pos, count(*) AS n FROM p GROUP BY 1),
+r AS (SELECT threshold, sum(pos) OVER w / sum(n) OVER w AS precision, sum(pos) OVER w / sum(pos) OVER () AS recall
+      FROM t WINDOW w AS (ORDER BY threshold DESC ROWS UNBOUNDED PRECEDING))
+SELECT threshold, precision, recall,
+  CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END::DOUBLE AS f1
+FROM r""")(lambda m: L.pr_curve(made_predictions(m)))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from transitlake.plans import features as FE
 from transitlake.plans import explore as X
 from transitlake.plans import learning as L
+from transitlake.plans.fits import FitStore, fingerprint
 from transitlake.plans.oracle_sql import rnd
 from transitlake.plans.registry import register
+from transitlake.session import cut_lineage
 
 _LR = "avg(CASE WHEN {c} THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END)"
 
@@ -96,99 +98,135 @@ def _late_sql() -> str:
 register("r08_late_distribution", _late_sql())(lambda m: FE.late_distribution(FE.feature_matrix(m)))
 
 
-# -- models (rows-only: fitted models are not reproducible in SQL) -----------
-def _data(m):
-    return L.training_frame(FE.feature_matrix(m))
+# -- models (rows-only: fitted models are not reproducible in SQL; the formulas have oracles in catalog_explore) --
+# The forests have the source's settings (200 trees, depth 15, leaf 10); the
+# rows that fit the classifier's trees are bounded by ``L.FOREST_ROWS``.
+class Evaluation:
+    """The training frame of a model graph and its stored fits."""
+
+    def __init__(self, m):
+        self.data = L.training_frame(FE.feature_matrix(m))
+        self.of = fingerprint(self.data)
+        self.store = FitStore(self.data.sparkSession)
+
+    def fit(self, estimator):
+        return self.store.fit(self.data, estimator, self.of)
+
+    def regressors(self) -> dict:
+        return L.regression_models(self.data.filter(~F.col("is_test")).count())
+
+    def regressor(self, name: str = "random_forest"):
+        return self.fit(self.regressors()[name])
+
+    def classifier(self, name: str = "random_forest"):
+        return self.fit(L.classification_models()[name])
 
 
-def regression_comparison(m, include_forest: bool = True):
+def regression_comparison(m):
     """Test-set metrics of the mean baseline and each model."""
-    data = _data(m)
-    n_train = data.filter(~F.col("is_test")).count()
-    out = L.regression_metrics(L.mean_baseline(data)).withColumn("model", F.lit("mean_baseline"))
-    for name, est in L.regression_models(n_train).items():
-        if name == "random_forest" and not include_forest:
-            continue
-        _, pred = L.fit_model(data, est)
-        out = out.unionByName(L.regression_metrics(pred).withColumn("model", F.lit(name)))
+    e = Evaluation(m)
+    out = L.regression_metrics(L.mean_baseline(e.data)).withColumn("model", F.lit("mean_baseline"))
+    for name in e.regressors():
+        out = out.unionByName(L.regression_metrics(e.regressor(name).predictions).withColumn("model", F.lit(name)))
     return out
 
 
-def classification_comparison(m, include_forest: bool = True):
+def _classifier_metrics(pred):
+    return L.classification_metrics(pred).withColumn("auc", L.roc_auc(pred).scalar())
+
+
+def classification_comparison(m):
     """Accuracy, precision, recall, F1 and AUC per model."""
-    data = _data(m)
-    base = L.majority_baseline(data)
+    e = Evaluation(m)
+    base = L.majority_baseline(e.data)
     out = L.classification_metrics(base).withColumn("auc", F.lit(0.5)).withColumn("model", F.lit("majority"))
-    for name, est in L.classification_models().items():
-        if name == "random_forest" and not include_forest:
-            continue
-        _, pred = L.fit_model(data, est)
-        pred = L.late_probability(pred)
-        met = L.classification_metrics(pred).withColumn("auc", L.roc_auc(pred).scalar())
-        out = out.unionByName(met.withColumn("model", F.lit(name)))
+    for name in L.classification_models():
+        out = out.unionByName(_classifier_metrics(e.classifier(name).predictions).withColumn("model", F.lit(name)))
     return out
 
 
-def _logistic_pred(m):
-    data = _data(m)
-    _, pred = L.fit_predict(data, L.classification_models()["logistic"])
-    return L.late_probability(pred)
-
-
 register("r15_regression_metrics")(regression_comparison)
 register("r15b_classification_metrics")(classification_comparison)
+register("r13_forest_regression")(lambda m: L.regression_metrics(Evaluation(m).regressor().predictions))
+register("r14_forest_classification")(lambda m: _classifier_metrics(Evaluation(m).classifier().predictions))
+register("r18_feature_importance")(lambda m: Evaluation(m).regressor().importances)
+register("r16_best_regression_model")(lambda m: L.best_model(regression_comparison(m), "r2"))
 
 
-# The forests have the source's settings (200 trees, depth 15, leaf 10); the
-# rows that fit the classifier's trees are bounded by ``L.FOREST_ROWS``.
-def _forest(m, kind: str, data=None):
-    data = _data(m) if data is None else data
-    models = L.regression_models(1) if kind == "regression" else L.classification_models()
-    return L.fit_forest(data, models["random_forest"])
+def cross_validation(m):
+    """5-fold CV over every complete feature row (lineage cut once), each fold's fit stored."""
+    data = cut_lineage(L.with_folds(FE.feature_matrix(m)))
+    store, of = FitStore(data.sparkSession), fingerprint(data.drop("fold"))
 
+    def fit(fold, estimator):
+        # The held-out fold is part of the fit's name.
+        held = fold.filter("is_test").agg(F.max("fold")).first()[0]
+        return store.fit(fold, estimator, f"{of}/fold-{held}").predictions
 
-register("r13_forest_regression")(lambda m: L.regression_metrics(_forest(m, "regression")[1]))
+    return L.cross_validation(data, L.cv_models(True), fit=fit)
 
 
-def forest_classification(m):
-    """Metrics and AUC of the forest classifier."""
-    pred = _forest_cls_pred(m)
-    return L.classification_metrics(pred).withColumn("auc", L.roc_auc(pred).scalar())
+register("r19_cross_validation")(cross_validation)
 
 
-register("r14_forest_classification")(forest_classification)
-register("r18_feature_importance")(lambda m: L.importance_table(_forest(m, "regression")[0]))
+def residuals(m):
+    """Residual statistics of the regressor with the best R2."""
+    e = Evaluation(m)
+    scored = {name: e.regressor(name).predictions for name in e.regressors()}
+    table = L.regression_metrics(scored["linear"]).withColumn("model", F.lit("linear"))
+    for name in scored:
+        if name != "linear":
+            table = table.unionByName(L.regression_metrics(scored[name]).withColumn("model", F.lit(name)))
+    best = L.best_model(table, "r2").first()["best_model"]
+    return L.residual_stats(scored[best]).withColumn("model", F.lit(best))
 
 
-def cross_validation(m, include_forest: bool = True):
-    """5-fold CV over every complete feature row (lineage cut once)."""
-    from transitlake.session import checkpoint_dir
-    fm = FE.feature_matrix(m)
-    checkpoint_dir(fm.sparkSession)
-    data = L.with_folds(fm).checkpoint(eager=True)
-    return L.cross_validation(data, L.cv_models(include_forest))
+register("r16b_residual_statistics")(residuals)
 
 
-register("r19_cross_validation")(cross_validation)
-register("r16_best_regression_model")(lambda m: L.best_model(regression_comparison(m), "r2"))
-register("r17_roc_curve")(lambda m: L.roc_curve(_logistic_pred(m)))
-register("r17b_confusion_matrix")(lambda m: L.confusion_matrix(_logistic_pred(m)))
+def roc_curves(m):
+    """The ROC curve of every classifier."""
+    e, out = Evaluation(m), None
+    for name in L.classification_models():
+        curve = L.roc_curve(e.classifier(name).predictions).withColumn("model", F.lit(name))
+        out = curve if out is None else out.unionByName(curve)
+    return out
+
+
+def best_classifier(m):
+    """Name and predictions of the classifier with the best F1 (ties: name)."""
+    e = Evaluation(m)
+    scored = {name: e.classifier(name).predictions for name in L.classification_models()}
+    f1 = {name: L.classification_metrics(p).first()["f1"] for name, p in scored.items()}
+    best = max(f1, key=lambda name: (f1[name], name))
+    return best, scored[best]
+
+
+def _of_best(fn):
+    def job(m):
+        name, pred = best_classifier(m)
+        return fn(pred).withColumn("model", F.lit(name))
+    return job
+
+
+register("r17_roc_curve")(roc_curves)
+register("r17b_confusion_matrix")(_of_best(L.confusion_matrix))
+register("r17f_best_class_report")(_of_best(X.class_report))
 
 
 # The evaluation of the source's notebook 05: predictions of the forests on all test rows.
-def _forest_reg_pred(m, data=None):
-    return _forest(m, "regression", data)[1]
+def _forest_reg_pred(m):
+    return Evaluation(m).regressor().predictions
 
 
-def _forest_cls_pred(m, data=None):
-    return L.late_probability(_forest(m, "classification", data)[1])
+def _forest_cls_pred(m):
+    return Evaluation(m).classifier().predictions
 
 
 def route_priority(m):
     """Both forests fitted on one split."""
-    data = _data(m)
-    table = L.route_priority(_forest_reg_pred(m, data), _forest_cls_pred(m, data))
-    return X.with_route_names(table, m.raw.routes)
+    e = Evaluation(m)
+    return X.with_route_names(L.route_priority(e.regressor().predictions, e.classifier().predictions), m.raw.routes)
 
 
 register("r20_error_by_route")(lambda m: X.with_route_names(L.error_by_route(_forest_reg_pred(m)), m.raw.routes))
@@ -199,3 +237,4 @@ register("r22_precision_recall_summary")(lambda m: L.pr_summary(_forest_cls_pred
 register("r23_error_extremes")(lambda m: L.error_extremes(_forest_reg_pred(m)))
 register("r23b_error_by_delay_bucket")(lambda m: L.error_by_delay_bucket(_forest_reg_pred(m)))
 register("r24_route_priority")(route_priority)
+register("r22b_precision_recall_curve")(lambda m: L.pr_curve(_forest_cls_pred(m)))

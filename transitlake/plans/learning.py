@@ -12,9 +12,12 @@
 
 from __future__ import annotations
 
+from multiprocessing.pool import ThreadPool
+
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import SQLTransformer, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression, RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from transitlake.functions.core import round_half_away as rha
 from transitlake.functions.labels import delay_bucket
 from transitlake.plans.features import CATEGORICAL_FEATURES, NUMERIC_FEATURES, with_numeric_flags
+from transitlake.session import checkpoint_dir, cut_lineage
 
 SEED = 42
 # Buckets of a probability in [0, 1] for running sums over all thresholds.
@@ -33,6 +37,10 @@ RIDGE_ALPHAS = (1.0, 10.0)
 RF_TREES, RF_DEPTH, RF_MIN_LEAF = 200, 15, 10
 # Rows that fit a forest classifier's trees: more are sampled by hash, scoring covers all test rows.
 FOREST_ROWS = 4000
+# Node statistics that a task holds at a time, and training rows a partition at least: a forest shuffles
+# the statistics of every node once a partition, so small frames are fitted on few partitions.
+FOREST_MEMORY_MB = 512
+ROWS_A_PARTITION = 10_000
 
 
 def split(fm: DataFrame, seed: int = SEED, test_pct: int = TEST_PCT) -> DataFrame:
@@ -47,18 +55,23 @@ def training_frame(fm: DataFrame, seed: int = SEED, test_pct: int = TEST_PCT) ->
     shared checkpoint folder, so every fitting pass (indexers, scaler,
     optimiser iterations, tree levels) reads it instead of recomputing the
     feature plan, and a lost executor re-reads it rather than the sources."""
-    from transitlake.session import checkpoint_dir
-    checkpoint_dir(fm.sparkSession)
-    return split(fm, seed, test_pct).checkpoint(eager=True)
+    return cut_lineage(split(fm, seed, test_pct))
 
 
-def _prep_stages():
+def _prep_stages(scale: bool = True):
+    """Codes for route and stop, one vector; scaled for linear models. Trees take
+    the unscaled values and the codes as plain numbers, as the source does (a
+    code's label metadata would make it a category with a bin for every stop)."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetAsc",
                          handleInvalid="keep") for c in CATEGORICAL_FEATURES]
-    asm = VectorAssembler(inputCols=NUMERIC_FEATURES + [f"{c}_idx" for c in CATEGORICAL_FEATURES],
-                          outputCol="raw_features", handleInvalid="keep")
-    sc = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)
-    return idx + [asm, sc]
+    if scale:
+        asm = VectorAssembler(inputCols=NUMERIC_FEATURES + [f"{c}_idx" for c in CATEGORICAL_FEATURES],
+                              outputCol="raw_features", handleInvalid="keep")
+        return idx + [asm, StandardScaler(inputCol="raw_features", outputCol="features", withMean=True, withStd=True)]
+    codes = ", ".join(f"{c}_idx + 0 AS {c}_code" for c in CATEGORICAL_FEATURES)
+    asm = VectorAssembler(inputCols=NUMERIC_FEATURES + [f"{c}_code" for c in CATEGORICAL_FEATURES],
+                          outputCol="features", handleInvalid="keep")
+    return idx + [SQLTransformer(statement=f"SELECT *, {codes} FROM __THIS__"), asm]
 
 
 def regression_models(n_train: int) -> dict:
@@ -69,7 +82,8 @@ def regression_models(n_train: int) -> dict:
                                                  elasticNetParam=0.0)
     ms["random_forest"] = RandomForestRegressor(labelCol="target_delay_seconds", numTrees=RF_TREES,
                                                 maxDepth=RF_DEPTH, minInstancesPerNode=RF_MIN_LEAF,
-                                                featureSubsetStrategy="all", seed=SEED)
+                                                featureSubsetStrategy="all", seed=SEED, cacheNodeIds=True,
+                                                maxMemoryInMB=FOREST_MEMORY_MB)
     return ms
 
 
@@ -78,7 +92,8 @@ def classification_models() -> dict:
     return {"logistic": LogisticRegression(labelCol="target_is_late", maxIter=1000),
             "random_forest": RandomForestClassifier(labelCol="target_is_late", numTrees=RF_TREES,
                                                     maxDepth=RF_DEPTH, minInstancesPerNode=RF_MIN_LEAF,
-                                                    featureSubsetStrategy="sqrt", seed=SEED)}
+                                                    featureSubsetStrategy="sqrt", seed=SEED, cacheNodeIds=True,
+                                                    maxMemoryInMB=FOREST_MEMORY_MB)}
 
 
 def forest_sample(train: DataFrame, rows: int = FOREST_ROWS) -> DataFrame:
@@ -91,19 +106,18 @@ def forest_sample(train: DataFrame, rows: int = FOREST_ROWS) -> DataFrame:
 
 
 def fit_forest(data: DataFrame, estimator, rows: int = FOREST_ROWS) -> tuple:
-    """``fit_predict`` for a forest: indexers, scaler and a regressor's trees
-    take all training rows, a classifier's trees the bounded sample. The
-    predictions are written once, whatever reads them."""
-    from transitlake.session import checkpoint_dir
-    for c in CATEGORICAL_FEATURES:
-        n = data.select(c).distinct().count()
-        estimator = estimator.setMaxBins(max(estimator.getMaxBins(), n + 2))
+    """``fit_predict`` for a forest: codes and a regressor's trees take all
+    training rows, a classifier's trees the bounded sample."""
+    checkpoint_dir(data.sparkSession)       # node ids are checkpointed there while trees grow
     train = data.filter(~F.col("is_test"))
-    prep = Pipeline(stages=_prep_stages()).fit(train)
+    prep = Pipeline(stages=_prep_stages(scale=False)).fit(train)
     sample = forest_sample(train, rows) if isinstance(estimator, RandomForestClassifier) else train
-    model = PipelineModel([*prep.stages, estimator.fit(prep.transform(sample))])
-    checkpoint_dir(data.sparkSession)
-    return model, model.transform(data.filter(F.col("is_test"))).checkpoint(eager=True)
+    ready = prep.transform(sample).select("features", estimator.getLabelCol())
+    few = max(4, -(-sample.count() // ROWS_A_PARTITION))
+    if ready.rdd.getNumPartitions() > few:
+        ready = ready.coalesce(few)
+    model = PipelineModel([*prep.stages, estimator.fit(ready)])
+    return model, model.transform(data.filter(F.col("is_test")))
 
 
 def importance_table(model) -> DataFrame:
@@ -250,22 +264,11 @@ def confusion_matrix(pred: DataFrame, label="target_is_late") -> DataFrame:
 
 def feature_importance(model, top: int = 15) -> list:
     """(feature, importance) pairs of a fitted forest, largest first."""
-    names = NUMERIC_FEATURES + [f"{c}_idx" for c in CATEGORICAL_FEATURES]
+    names = NUMERIC_FEATURES + CATEGORICAL_FEATURES
     imp = model.stages[-1].featureImportances.toArray()
     return sorted(zip(names, map(float, imp)), key=lambda t: -t[1])[:top]
 
 
-def cross_validate(data: DataFrame, estimator, evaluator, folds: int = 5):
-    """K-fold CV with a hash fold column (stable folds)."""
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-    d = data.withColumn("fold", F.pmod(F.xxhash64("prediction_id", "trip_id", "stop_id", "extracted_at"),
-                                       F.lit(folds)).cast("int"))
-    cv = CrossValidator(estimator=Pipeline(stages=_prep_stages() + [estimator]),
-                        estimatorParamMaps=ParamGridBuilder().build(), evaluator=evaluator,
-                        numFolds=folds, foldCol="fold")
-    return cv.fit(d)
-
-
 def with_folds(fm: DataFrame, folds: int = 5, seed: int = SEED) -> DataFrame:
     """R19 input: every complete feature row with a hash fold id in
     [0, folds) — stable under repartitioning, no sampling."""
@@ -274,28 +277,36 @@ def with_folds(fm: DataFrame, folds: int = 5, seed: int = SEED) -> DataFrame:
     return fm.withColumn("fold", F.pmod(h, F.lit(folds)).cast("int"))
 
 
-def cross_validation(data: DataFrame, models: dict, folds: int = 5) -> DataFrame:
+def cross_validation(data: DataFrame, models: dict, folds: int = 5, fit=None, side_by_side: int = 4) -> DataFrame:
     """Per-fold scores of each model, with the mean and (population)
     standard deviation over the folds.
 
     ``models`` maps a name to ``(make_estimator(n_train), metric)`` where
     metric is ``"mae"`` (regression) or ``"f1"`` (classification). Each fold
-    fits the whole prep pipeline (indexers, scaler) on the other folds, so
-    no statistic of the held-out fold leaks into training. The fold loop
-    runs ``folds`` distributed fits; only the per-fold row counts (one row
-    per fold) reach the driver.
+    fits the whole prep pipeline (codes, scaler) on the other folds, so
+    no statistic of the held-out fold leaks into training. ``fit(data,
+    estimator)`` gives a fold's predictions (default: a fit of its own). The
+    folds are independent Spark jobs; ``side_by_side`` of them run at a time,
+    as the cross-validator of ``pyspark.ml`` does. Only the per-fold row counts
+    (one row per fold) reach the driver.
     """
+    fit = fit or (lambda d, e: fit_model(d, e)[1])
     sizes = {r["fold"]: r["n"] for r in data.groupBy("fold").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(sizes.values())
-    out = None
-    for name, (make, metric) in models.items():
-        for k in range(folds):
-            fold = data.withColumn("is_test", F.col("fold") == k)
-            _, pred = fit_model(fold, make(total - sizes.get(k, 0)))
-            met = regression_metrics(pred) if metric == "mae" else classification_metrics(pred)
-            row = met.select(F.lit(name).alias("model"), F.lit(k).alias("fold"),
-                             F.lit(metric).alias("metric"), F.col(metric).cast("double").alias("value"))
-            out = row if out is None else out.unionByName(row)
+    tasks = [(name, make, metric, k) for name, (make, metric) in models.items() for k in range(folds)]
+
+    def one(task):
+        name, make, metric, k = task
+        pred = fit(data.withColumn("is_test", F.col("fold") == k), make(total - sizes.get(k, 0)))
+        met = regression_metrics(pred) if metric == "mae" else classification_metrics(pred)
+        return met.select(F.lit(name).alias("model"), F.lit(k).alias("fold"),
+                          F.lit(metric).alias("metric"), F.col(metric).cast("double").alias("value"))
+
+    with ThreadPool(side_by_side) as pool:
+        rows = pool.map(inheritable_thread_target(data.sparkSession)(one), tasks)
+    out = rows[0]
+    for row in rows[1:]:
+        out = out.unionByName(row)
     w = Window.partitionBy("model")
     return out.select("model", "fold", "metric", "value",
                       rha(F.avg("value").over(w), 4).alias("mean"),
