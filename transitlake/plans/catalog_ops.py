@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from transitlake.operators import loads, quality
+from transitlake.operators import history, loads, quality
 from transitlake.operators.latest import dedupe_on
-from transitlake.plans.oracle_sql import rnd
+from transitlake.plans import intermediate
+from transitlake.plans.oracle_sql import CTES, rnd
 from transitlake.plans.queries import stations as qst
-from transitlake.plans.registry import register
+from transitlake.plans.registry import register, register_raw
+from transitlake.session import checkpoint_dir
 from transitlake.sources.proxy import ENTITIES
 from transitlake.sources.schemas import DEDUPE_KEYS, PREDICTIONS, VEHICLES
 
 NOW_FRESH = "2024-01-31 00:00:00"
-# Landing stamp of the dimension batch (their rows carry no instant of their own).
-LANDED_AT = "2024-01-30 12:30:00"
 
 
 def _resnapshot(df, seconds: int):
@@ -124,25 +126,26 @@ FROM ({" UNION ALL ".join(_suite_sql(e) for e in ENTITIES)}) r GROUP BY entity""
 # Freshness of each raw table at a given instant.
 def fresh_sql(e: str, now: str = NOW_FRESH) -> str:
     col = "extracted_at" if e in ("predictions", "vehicles", "alerts") else "timestamp"
-    lim = {"predictions": "0.5", "vehicles": "0.5", "alerts": "25.0", "weather": "25.0", "routes": "25.0",
-           "stops": "25.0"}[e]
-    newest = f"max(TIMESTAMP '{LANDED_AT}')" if e in ("routes", "stops") else f'max("{col}")'
-    age = f"((epoch_us(TIMESTAMP '{now}') // 1000000) - (epoch_us({newest}) // 1000000)) / 3600.0::DOUBLE"
+    lim = {"predictions": "0.5", "vehicles": "0.5", "alerts": "25.0", "weather": "25.0"}[e]
+    age = f"((epoch_us(TIMESTAMP '{now}') // 1000000) - (epoch_us(max(\"{col}\")) // 1000000)) / 3600.0::DOUBLE"
     return (f"SELECT '{e}' AS entity, 'freshness' AS check, coalesce({age} <= {lim}, FALSE) AS passed, "
             f"'<= {lim} h' AS expected, coalesce(CAST({rnd(age, 2)} AS VARCHAR), 'missing') AS actual, "
             f"CAST(NULL AS VARCHAR) AS details FROM raw_{e}")
 
 
-_FRESH = ("routes", "stops", "predictions", "vehicles", "alerts", "weather")
+_FRESH = ("predictions", "vehicles", "alerts", "weather")
 
+register("p9_freshness", "\nUNION ALL ".join(fresh_sql(e) for e in _FRESH))(
+    lambda m: quality.freshness({e: getattr(m.raw, e) for e in _FRESH}, NOW_FRESH))
 
-def _stamped(m, e: str):
-    df = getattr(m.raw, e)
-    return df.withColumn("extracted_at", F.lit(LANDED_AT).cast("timestamp")) if e in ("routes", "stops") else df
 
+def p9b_file_freshness(spark, sf_dir):
+    """Routes and stops hold no instant of their own: their age is that of the files they come from."""
+    out = history.file_freshness(spark, {"routes": f"{sf_dir}/nation.parquet", "stops": f"{sf_dir}/supplier.parquet"})
+    return out.drop("actual")
 
-register("p9_freshness", "\nUNION ALL ".join(fresh_sql(e) for e in _FRESH))(
-    lambda m: quality.freshness({e: _stamped(m, e) for e in _FRESH}, NOW_FRESH))
+
+register_raw("p9b_file_freshness")(p9b_file_freshness)
 
 
 # Schema tests on the staging models.
@@ -212,9 +215,49 @@ def _future(m):
 
 
 register("p14_no_future_timestamps", "\nUNION ALL ".join(_future_sql(e) for e in _P14_TS))(_future)
-register("p14b_delay_range", """
+# The delays as they are before the model drops those out of range.
+_DELAYS_SQL = CTES["int_scheduled_vs_actual"].replace("WHERE l.delay_seconds BETWEEN -1800 AND 3600",
+                                                     "WHERE l.delay_seconds IS NOT NULL")
+
+
+def _all_delays(m):
+    return intermediate.scheduled_vs_actual(m.stg_predictions, m.stg_schedules, m.stg_routes, m.stg_stops, m.tz,
+                                            in_range=False)
+
+
+register("p14b_delay_range", f"""
 SELECT 'delays' AS entity, 'valid_delay_range:delay_seconds' AS "check", bad = 0 AS passed,
   '[-1800, 3600]' AS expected, CAST(bad AS VARCHAR) AS actual, CAST(NULL AS VARCHAR) AS details
-FROM (SELECT count(CASE WHEN delay_seconds IS NOT NULL AND NOT (delay_seconds BETWEEN -1800 AND 3600)
-                        THEN 1 END) AS bad FROM int_scheduled_vs_actual) x""")(
-    lambda m: quality.delay_in_range(m.scheduled_vs_actual))
+FROM (SELECT count(*) FILTER (delay_seconds < -1800 OR delay_seconds > 3600) AS bad FROM ({_DELAYS_SQL}) l) x""")(
+    lambda m: quality.delay_in_range(_all_delays(m)))
+
+_DRIFT = {"predictions": ["prediction_id", "stop_id", "arrival_time", "departure_time", "status"],
+          "vehicles": ["vehicle_id", "stop_id", "trip_id"]}
+#: The snapshots that the first of the two recorded runs sees.
+DRIFT_CUT = "1995-01-01 00:00:00"
+
+
+def _drift_sql() -> str:
+    parts = []
+    for t, cols in _DRIFT.items():
+        old = f"CAST(extracted_at AS TIMESTAMP) < TIMESTAMP '{DRIFT_CUT}'"
+        parts.append(f"SELECT '{t}' AS table_name, 'rows' AS metric, count(*) AS value, count(*) FILTER ({old}) AS previous FROM raw_{t}")
+        parts += [f"SELECT '{t}', 'nulls:{c}', count(*) FILTER ({c} IS NULL), count(*) FILTER ({c} IS NULL AND {old}) FROM raw_{t}"
+                  for c in cols]
+    change = "CASE WHEN previous > 0 THEN (value - previous) * 100.0::DOUBLE / previous END"
+    return (f"SELECT table_name, metric, value, previous, {rnd(change, 1)} AS change_pct, "
+            f"NOT (metric = 'rows' AND value = 0) AND coalesce(abs({change}) <= 50, TRUE) AS passed FROM ("
+            + "\nUNION ALL ".join(parts) + ") s")
+
+
+def p14c_drift(m):
+    """Statistics of two landed snapshots, kept run by run and compared."""
+    kept = history.StatsHistory(m.spark, f"{checkpoint_dir(m.spark).rstrip('/')}/stats-{uuid.uuid4().hex[:8]}")
+    tables = {t: getattr(m.raw, t).select("extracted_at", *cols) for t, cols in _DRIFT.items()}
+    cut = F.col("extracted_at").cast("timestamp") < F.lit(DRIFT_CUT).cast("timestamp")
+    kept.record({t: df.filter(cut).drop("extracted_at") for t, df in tables.items()}, 1)
+    kept.record({t: df.drop("extracted_at") for t, df in tables.items()}, 2)
+    return kept.drift()
+
+
+register("p14c_statistics_drift", _drift_sql())(p14c_drift)

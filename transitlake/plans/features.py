@@ -10,7 +10,7 @@ do not depend on summation order.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from transitlake.functions.core import round_half_away as rha
@@ -71,14 +71,52 @@ def alert_features(m) -> DataFrame:
                                      F.sum("informed_entity_count").alias("total_entities_affected"))
 
 
-def feature_matrix(m) -> DataFrame:
-    """R1 + R6: one row per delay observation with targets and features."""
+def fold_of(folds: int) -> F.Column:
+    """A fold in [0, folds) by a hash of the row's key that any engine can restate."""
+    key = F.concat_ws("|", "prediction_id", "trip_id", "stop_id", F.unix_micros("extracted_at").cast("string"))
+    return (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % folds).cast("int")
+
+
+def train_history(e: DataFrame, key: str, names: tuple[str, str, str], test_fold: int = 0) -> DataFrame:
+    """Mean, deviation and late rate of ``key`` for each ``fold``, from the training rows outside that fold.
+
+    One aggregate per (key, fold); a fold's history is the key's training
+    total less the fold's own part. So neither a row nor its fold-mates move
+    its own features, and test rows move nobody's.
+    """
+    d = F.col("delay_seconds").cast("long")
+    own = e.groupBy(key, "fold").agg(F.count(F.lit(1)).alias("n"), F.sum(d).alias("s"),
+                                     F.sum(d * d).alias("q"), F.count_if("is_late").alias("l"))
+    train = F.col("fold") != test_fold
+    w = Window.partitionBy(key)
+    rest = [(F.sum(F.when(train, F.col(c)).otherwise(0)).over(w)
+             - F.when(train, F.col(c)).otherwise(0)).cast("double").alias(c.upper()) for c in "nsql"]
+    n, s, q, l = (F.col(c) for c in "NSQL")
+    var = (q - s * s / n) / (n - 1)
+    mean, dev, rate = names
+    return own.select(key, "fold", *rest).select(
+        key, "fold", F.when(n > 0, rha(s / n, 6)).alias(mean),
+        F.when(n > 1, rha(F.sqrt(F.greatest(var, F.lit(0.0))), 6)).alias(dev), F.when(n > 0, rha(l / n, 6)).alias(rate))
+
+
+def feature_matrix(m, fit_on: str = "all", folds: int = 5) -> DataFrame:
+    """R1 + R6: one row per delay observation with targets and features.
+
+    ``fit_on="all"`` takes route and stop history over all rows, the row's own
+    included, as the source does. ``fit_on="train"`` adds ``fold`` (fold 0 is
+    the test set) and takes history from the training rows of other folds.
+    """
+    if fit_on not in ("all", "train"):
+        raise ValueError(f"fit_on is 'all' or 'train', not {fit_on!r}")
     e = m.scheduled_vs_actual.filter(F.col("delay_seconds").isNotNull())
     ts = F.col("extracted_at")
     hour, dow = F.hour(ts), F.dayofweek(ts) - 1          # 0 = Sunday
     seq = F.col("stop_sequence")
+    fold = ["fold"] if fit_on == "train" else []
+    if fold:
+        e = e.withColumn("fold", fold_of(folds))
     base = e.select(
-        "prediction_id", "trip_id", "route_id", "stop_id", "direction_id", "stop_sequence",
+        *fold, "prediction_id", "trip_id", "route_id", "stop_id", "direction_id", "stop_sequence",
         "extracted_at", "delay_seconds", "is_late",
         F.col("delay_seconds").alias("target_delay_seconds"),
         F.when(F.col("delay_seconds") > 60, 1).otherwise(0).alias("target_is_late"),
@@ -97,10 +135,12 @@ def feature_matrix(m) -> DataFrame:
                                   rha(_late_rate(F.col("is_late")), 6).alias("sl"))
     w = m.stg_weather.select(F.col("weather_timestamp").alias("_hour"), "temperature_f",
                              "precipitation_mm", "wind_speed_mph", "visibility_m", "snowfall_cm")
-    j = base.join(ra, "route_id", "left").join(sa, "stop_id", "left").join(w, "_hour", "left")
+    if fold:
+        ra, sa = train_history(e, "route_id", ("ra", "rs", "rl")), train_history(e, "stop_id", ("sa", "ss", "sl"))
+    j = base.join(ra, ["route_id", *fold], "left").join(sa, ["stop_id", *fold], "left").join(w, "_hour", "left")
     z = lambda c: F.coalesce(F.col(c), F.lit(0.0))
     return j.select(
-        "prediction_id", "trip_id", "route_id", "stop_id", "direction_id", "stop_sequence",
+        *fold, "prediction_id", "trip_id", "route_id", "stop_id", "direction_id", "stop_sequence",
         "extracted_at", "delay_seconds", "is_late", "target_delay_seconds", "target_is_late",
         "hour_of_day", "day_of_week", "is_weekend", "is_morning_rush", "is_evening_rush",
         "raw_stop_sequence", "stop_position_bin", "uncertainty",

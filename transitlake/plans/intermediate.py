@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from transitlake.functions.core import seconds_between, service_date
 from transitlake.functions.labels import delay_category, severity_category
 
+# Delays (seconds) that the model keeps (fixed values of the source).
+DELAY_RANGE = (-1800, 3600)
+
 SVA_COLS = ["prediction_id", "route_id", "route_name", "route_type", "route_type_desc",
             "stop_id", "stop_name", "municipality", "latitude", "longitude", "trip_id",
             "vehicle_id", "direction_id", "stop_sequence", "service_date", "scheduled_arrival",
@@ -20,9 +23,11 @@ SVA_COLS = ["prediction_id", "route_id", "route_name", "route_type", "route_type
 
 def scheduled_vs_actual(stg_predictions: DataFrame, stg_schedules: DataFrame,
                         stg_routes: DataFrame, stg_stops: DataFrame,
-                        tz: str = "UTC") -> DataFrame:
+                        tz: str = "UTC", in_range: bool = True) -> DataFrame:
     """Delay of every latest prediction against its same-service-day schedule.
 
+    ``in_range=False`` keeps the delays that the model drops as impossible.
+
     The source model left-joins and then drops rows whose delay is NULL, so
     an unmatched prediction never survives: the join is written as an inner
     equi-join on (trip_id, stop_id, service_date), which lets the planner
@@ -43,8 +48,9 @@ def scheduled_vs_actual(stg_predictions: DataFrame, stg_schedules: DataFrame,
     dep = F.when(F.col("predicted_departure").isNotNull() & F.col("scheduled_departure").isNotNull(),
                  seconds_between("scheduled_departure", "predicted_departure"))
     d = F.col("delay_seconds")
+    fits = d.isNotNull() & d.between(*DELAY_RANGE) if in_range else d.isNotNull()
     c = (j.withColumn("delay_seconds", F.coalesce(arr, dep))
-          .filter(d.isNotNull() & d.between(-1800, 3600))
+          .filter(fits)
           .withColumn("delay_category", delay_category(d))
           .withColumn("is_late", F.coalesce(d > 60, F.lit(False)))
           .withColumn("is_significantly_late", F.coalesce(d > 300, F.lit(False))))

@@ -15,8 +15,12 @@
 * ``stop_activity_stream``: ``foreachBatch`` over the exactly-once raw table;
   the hours a batch touches are computed again with the batch model, so late
   and replayed rows are right at any time.
+* ``latest_upserts``: the same latest rows in an upsert table that is
+  compacted as the stream goes on; with the service day as its part, days that
+  no late row reaches are sealed.
 * ``delay_stream``: each arriving prediction joined to static schedules and
-  dimensions (stream–static join) with the delay rules of the batch model.
+  dimensions (stream–static join) by the batch model, over the range of
+  schedules that the batch can meet.
 * ``freshness_monitor``: the freshness check on every micro-batch.
 
 Stateful queries use the RocksDB state store (state on local disk of each
@@ -32,6 +36,7 @@ from its last committed offsets on any executor set.
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 from collections.abc import Sequence
 
@@ -39,12 +44,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from transitlake.functions.core import seconds_between, service_date
-from transitlake.functions.labels import delay_category
 from transitlake.operators.latest import latest_per_key
 from transitlake.operators.loads import DT, RawStore
+from transitlake.operators.upserts import UpsertTable
 from transitlake.plans import staging
-from transitlake.plans.intermediate import stop_activity
+from transitlake.plans.intermediate import scheduled_vs_actual, stop_activity
 from transitlake.session import checkpoint_dir
 
 
@@ -118,6 +122,12 @@ def append_exactly_once(stream: DataFrame, store: RawStore, entity: str, checkpo
     return _run(stream.writeStream.foreachBatch(sink), checkpoint, available_now)
 
 
+def latest_upserts(stream: DataFrame, table: UpsertTable, checkpoint: str, available_now: bool = True):
+    """Keep the latest row per key in an upsert table: no state store, and a log that compaction bounds."""
+    return _run(stream.writeStream.foreachBatch(lambda batch, batch_id: table.upsert(batch, batch_id)),
+                checkpoint, available_now)
+
+
 def _change_log_sink(path: str):
     def sink(batch: DataFrame, batch_id: int) -> None:
         batch.withColumn("_batch_id", F.lit(batch_id).cast("long")).write.mode("append").parquet(path)
@@ -174,39 +184,44 @@ def stop_activity_stream(vehicles: DataFrame, store: RawStore, stops: DataFrame,
     return _run(vehicles.writeStream.foreachBatch(sink), checkpoint, available_now)
 
 
-def delay_stream(predictions: DataFrame, schedules: DataFrame, routes: DataFrame,
-                 stops: DataFrame, tz: str = "UTC") -> DataFrame:
-    """Delay of each arriving prediction snapshot (stream–static join)."""
-    p = predictions.select(
-        "prediction_id", F.col("arrival_time").cast("timestamp").alias("predicted_arrival"),
-        F.col("departure_time").cast("timestamp").alias("predicted_departure"),
-        "route_id", "stop_id", "trip_id", "direction_id", "stop_sequence",
-        F.col("extracted_at").cast("timestamp").alias("extracted_at"))
-    p = p.filter(F.coalesce("predicted_arrival", "predicted_departure").isNotNull()).withColumn(
-        "service_date", service_date(F.coalesce("predicted_arrival", "predicted_departure"), tz))
-    s = schedules.filter(F.col("schedule_id").isNotNull()).select(
-        "trip_id", "stop_id", F.col("arrival_time").cast("timestamp").alias("scheduled_arrival"),
-        F.col("departure_time").cast("timestamp").alias("scheduled_departure"))
-    s = s.withColumn("service_date", service_date(F.coalesce("scheduled_arrival", "scheduled_departure"), tz))
-    j = p.join(s, ["trip_id", "stop_id", "service_date"], "inner")
-    arr = F.when(F.col("predicted_arrival").isNotNull() & F.col("scheduled_arrival").isNotNull(),
-                 seconds_between("scheduled_arrival", "predicted_arrival"))
-    dep = F.when(F.col("predicted_departure").isNotNull() & F.col("scheduled_departure").isNotNull(),
-                 seconds_between("scheduled_departure", "predicted_departure"))
-    d = F.col("delay_seconds")
-    j = (j.withColumn("delay_seconds", F.coalesce(arr, dep))
-         .filter(d.isNotNull() & d.between(-1800, 3600))
-         .withColumn("delay_category", delay_category(d))
-         .withColumn("is_late", F.coalesce(d > 60, F.lit(False))))
-    r = F.broadcast(routes.filter(F.col("route_id").isNotNull())
-                    .select("route_id", F.col("long_name").alias("route_name")))
-    st = stops.filter(F.col("stop_id").isNotNull() & F.col("latitude").isNotNull()
-                      & F.col("longitude").isNotNull()).select("stop_id", F.col("name").alias("stop_name"))
-    return (j.join(r, "route_id", "left").join(st, "stop_id", "left")
-            .select("prediction_id", "route_id", "route_name", "stop_id", "stop_name", "trip_id",
-                    "direction_id", "stop_sequence", "service_date", "scheduled_arrival",
-                    "scheduled_departure", "predicted_arrival", "predicted_departure",
-                    "delay_seconds", "delay_category", "is_late", "extracted_at"))
+DELAY_COLS = ["prediction_id", "route_id", "route_name", "stop_id", "stop_name", "trip_id", "direction_id",
+              "stop_sequence", "service_date", "scheduled_arrival", "scheduled_departure", "predicted_arrival",
+              "predicted_departure", "delay_seconds", "delay_category", "is_late", "extracted_at"]
+
+
+def schedules_of(batch: DataFrame, schedules: DataFrame) -> DataFrame:
+    """The raw schedules that can share a service date with the typed predictions of ``batch``.
+
+    Two instants of one service date lie less than a day apart, so the batch's
+    first and last predicted instant, a day wider, bound the scan: two values
+    reach the driver and become a pushed range on the schedules' times.
+    """
+    at = F.coalesce("predicted_arrival", "predicted_departure")
+    first, last = batch.agg(F.min(at), F.max(at)).first()
+    if first is None:
+        return schedules.filter(F.lit(False))
+    low, high = (F.lit(t + dt.timedelta(days=d)) for t, d in ((first, -1), (last, 1)))
+    arrives, departs = F.col("arrival_time"), F.col("departure_time")
+    return schedules.filter(arrives.between(low, high) | (arrives.isNull() & departs.between(low, high)))
+
+
+def delay_stream(predictions: DataFrame, schedules: DataFrame, routes: DataFrame, stops: DataFrame, out: str,
+                 checkpoint: str, tz: str = "UTC", available_now: bool = True):
+    """Delay of each arriving prediction snapshot against the static schedules.
+
+    Every micro-batch is computed by the batch model over the part of the
+    schedules that its own range of instants can meet, and replaces its own
+    folder of ``out``, so a repeated batch adds nothing.
+    """
+    routes, stops = staging.stg_routes(routes), staging.stg_stops(stops)
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        p = staging.typed_predictions(batch)
+        s = staging.stg_schedules(schedules_of(p, schedules))
+        rows = scheduled_vs_actual(p, s, routes, stops, tz).select(*DELAY_COLS)
+        rows.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+
+    return _run(predictions.writeStream.foreachBatch(sink), checkpoint, available_now)
 
 
 def freshness_monitor(stream: DataFrame, entity: str, results_path: str, checkpoint: str,
