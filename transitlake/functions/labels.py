@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from transitlake.functions.core import round_half_away
+
 __all__ = [
     "ROUTE_TYPE_NAMES", "ROUTE_TYPE_CATEGORY", "LOCATION_TYPE_NAMES", "VEHICLE_TYPE_NAMES",
     "WEATHER_CODE_GROUPS", "DAY_NAMES", "ALERT_EFFECT_MULTIPLIER",
@@ -164,3 +166,12 @@ def stop_position_bin(seq) -> Column:
 def search_location_desc(location_type) -> Column:
     lt = _c(location_type)
     return F.when(lt == 1, F.lit("Station")).when(lt == 0, F.lit("Stop")).otherwise(F.lit("Node"))
+
+
+def delay_status(minutes, compact: bool = False) -> Column:
+    """Size of a delay in minutes with its direction; under 0.05 minutes is on time."""
+    m = _c(minutes)
+    size = F.abs(m)
+    word = F.when(size < 0.05, F.lit("on time")).when(m < 0, F.lit("early")).otherwise(F.lit("delayed"))
+    shown = F.when(size < 0.05, F.lit("0.0")).otherwise(round_half_away(size, 1).cast("decimal(18,1)").cast("string"))
+    return F.concat_ws(" ", shown, word) if compact else F.concat_ws(" ", shown, F.lit("min"), word)

@@ -290,6 +290,41 @@ class RawStore:
             (w.partitionBy(DT) if part and DT in ins.columns else w).parquet(path)
         return self.table(name).count() if count else -1
 
+    def merge(self, name: str, source: DataFrame) -> int:
+        """Insert the rows of ``source`` whose key the table lacks (C7); returns the table's row count.
+
+        The batch is staged first: reduced to one row per key and written
+        beside the table, so the source is read once and a failure leaves the
+        table as it was. A batch without all key columns, or an entity without
+        keys, is an error before anything is written.
+        """
+        e = entity(name)
+        keys = DEDUPE_KEYS.get(e.name, ())
+        if not keys:
+            raise ValueError(f"{e.name} has no key to merge on")
+        missing = [k for k in keys if k not in source.columns]
+        if missing:
+            raise ValueError(f"a batch of {e.name} lacks the key columns {missing}")
+        stage = f"{self.table_path(name)}.stage-{uuid.uuid4().hex[:8]}"
+        try:
+            dedupe_on(source, keys).write.parquet(stage)
+            return self.load(name, self.spark.read.parquet(stage))
+        finally:
+            fs, p = self._fs(stage)
+            fs.delete(p, True)
+
+    def sql(self, query: str) -> DataFrame:
+        """Ad-hoc SQL over the store's tables, each by its name ``raw_<entity>`` (C11).
+
+        The names live in a session of their own and clash with no view of the caller.
+        """
+        session = self.spark.newSession()
+        session.conf.set("spark.sql.session.timeZone", self.spark.conf.get("spark.sql.session.timeZone"))
+        for n in REGISTRY:
+            if self.exists(n):
+                session.read.parquet(self.table_path(n)).createOrReplaceTempView(f"raw_{n}")
+        return session.sql(query)
+
     def load_path(self, name: str, path: str, glob: str | None = None) -> int:
         entity(name)
         return self.load(name, self.read_source(path, glob))

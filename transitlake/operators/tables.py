@@ -47,3 +47,22 @@ def write_model(df: DataFrame, path: str, partition_by: Sequence[str] = (),
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return path
+
+
+# Databases of the model layers (fixed values of the source).
+LAYERS = {"stg": "staging", "int": "intermediate", "mart": "marts"}
+
+
+def database_of(model: str, default: str = "default", layers: dict[str, str] | None = None) -> str:
+    """S3: the database of a model by its layer; a layer without a name of its own takes the target's default."""
+    named = (LAYERS if layers is None else layers).get(model.split("_", 1)[0])
+    return named.strip() if named and named.strip() else default
+
+
+def publish(df: DataFrame, model: str, root: str, default: str = "default",
+            layers: dict[str, str] | None = None) -> str:
+    """Write a model as a catalog table in its database under ``root``; returns the qualified name."""
+    spark, db = df.sparkSession, database_of(model, default, layers)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS `{db}` LOCATION '{root.rstrip('/')}/{db}'")
+    df.write.mode("overwrite").option("path", f"{root.rstrip('/')}/{db}/{model}").saveAsTable(f"`{db}`.`{model}`")
+    return f"{db}.{model}"

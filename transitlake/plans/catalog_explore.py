@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from transitlake.functions.core import lit_ts
+from transitlake.functions.labels import delay_status
 from transitlake.plans import explore as X
 from transitlake.plans import learning as L
 from transitlake.plans.catalog_queries import NOW_SERVICE
@@ -146,3 +147,10 @@ r AS (SELECT threshold, sum(pos) OVER w / sum(n) OVER w AS precision, sum(pos) O
 SELECT threshold, precision, recall,
   CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END::DOUBLE AS f1
 FROM r""")(lambda m: L.pr_curve(made_predictions(m)))
+
+register("m14_delay_status", f"""
+WITH a AS (SELECT route_id, avg_delay_seconds / 60.0::DOUBLE AS m FROM mart_route_reliability)
+SELECT route_id, CASE WHEN abs(m) < 0.05 THEN '0.0 min on time' ELSE
+  CAST(CAST({rnd('abs(m)', 1)} AS DECIMAL(18,1)) AS VARCHAR) || CASE WHEN m < 0 THEN ' min early' ELSE ' min delayed' END
+  END AS status FROM a""")(
+    lambda m: m.route_reliability.select("route_id", delay_status(F.col("avg_delay_seconds") / 60.0).alias("status")))
