@@ -55,6 +55,8 @@ def test_batches_that_are_slices(small):
     lambda d: d.update(normalizer={"type": "Lowercase"}),
     lambda d: d["added_tokens"].append({"id": 50257, "content": "two words", "single_word": False, "lstrip": False,
                                         "rstrip": False, "normalized": False, "special": True}),
+    lambda d: d["added_tokens"].append({"id": 50257, "content": "EOS", "single_word": False, "lstrip": False,
+                                        "rstrip": False, "normalized": False, "special": True}),
     lambda d: d["added_tokens"].append({"id": 50257, "content": "[X]", "single_word": False, "lstrip": True,
                                         "rstrip": False, "normalized": False, "special": True}),
 ])
