@@ -7,7 +7,6 @@ import uuid
 from pyspark.sql import functions as F
 
 from transitlake.operators import history, loads, quality
-from transitlake.operators.latest import dedupe_on
 from transitlake.plans import intermediate
 from transitlake.plans.oracle_sql import CTES, rnd
 from transitlake.plans.queries import stations as qst
@@ -40,9 +39,34 @@ src AS (SELECT * FROM raw_predictions UNION ALL SELECT {_shift} FROM raw_predict
 ins AS (SELECT * FROM (SELECT DISTINCT * FROM src) s WHERE NOT EXISTS (SELECT 1 FROM tgt t WHERE {_ns})),
 allr AS (SELECT * FROM tgt UNION ALL SELECT * FROM ins)
 SELECT {', '.join(_PCOLS)} FROM (SELECT *, {_rank_sql(_PCOLS, _PK)} AS _rk FROM allr) x WHERE _rk = 1""")(
-    lambda m: loads.append_result(m.raw.predictions,
-                                  m.raw.predictions.unionByName(_resnapshot(m.raw.predictions, 300)),
-                                  _PK))
+    lambda m: appended(m))
+
+
+def _store(m, name: str) -> loads.RawStore:
+    # The synthetic snapshots spread over seven years: months, not days.
+    return loads.RawStore(m.spark, f"{checkpoint_dir(m.spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:8]}", unit="month")
+
+
+def appended(m):
+    """The stored table after a first load and a batch that replays it and adds a snapshot of every row."""
+    store, p = _store(m, "c4"), m.raw.predictions
+    store.load("predictions", p, count=False)
+    store.load("predictions", p.unionByName(_resnapshot(p, 300)), count=False)
+    return store.rows("predictions").select(*_PCOLS)
+
+
+# Batches merged on their keys through a staged copy, the second one holding the first again.
+def merged(m):
+    store, p = _store(m, "c7"), m.raw.predictions
+    store.merge("predictions", p.filter(F.col("direction_id") == 0))
+    store.merge("predictions", p)
+    return store.rows("predictions").select(*_PCOLS)
+
+
+register("c7_merge_on_keys", f"""
+SELECT {', '.join(_PCOLS)} FROM (SELECT *, {_rank_sql(_PCOLS, _PK)} AS _rk
+  FROM (SELECT *, min(direction_id) OVER (PARTITION BY {', '.join(_PK)}) AS _first FROM raw_predictions)
+  WHERE direction_id = _first) x WHERE _rk = 1""")(merged)
 
 # De-duplicating a table that holds a replayed batch with changed values.
 _VCOLS = [f.name for f in VEHICLES.fields]
@@ -51,8 +75,15 @@ _vbump = ", ".join(c if c != "speed" else "speed + 1.0::DOUBLE AS speed" for c i
 register("c8_dedupe_vehicles", f"""
 WITH allr AS (SELECT * FROM raw_vehicles UNION ALL SELECT {_vbump} FROM raw_vehicles)
 SELECT {', '.join(_VCOLS)} FROM (SELECT *, {_rank_sql(_VCOLS, _VK)} AS _rk FROM allr) x WHERE _rk = 1""")(
-    lambda m: dedupe_on(m.raw.vehicles.unionByName(
-        m.raw.vehicles.withColumn("speed", F.col("speed") + 1.0)), _VK))
+    lambda m: deduped(m))
+
+
+def deduped(m):
+    """A stored table that another writer filled with copies, after the store's own de-duplication."""
+    store, v = _store(m, "c8"), m.raw.vehicles
+    v.unionByName(v.withColumn("speed", F.col("speed") + 1.0)).write.parquet(store.table_path("vehicles"))
+    store.dedupe("vehicles")
+    return store.rows("vehicles").select(*_VCOLS)
 
 # Row counts of the raw tables.
 register("c10_table_stats", "\nUNION ALL ".join(
