@@ -15,7 +15,11 @@ DEFAULT = ["d5_stg_predictions", "d7_stg_alerts", "e1_scheduled_vs_actual", "e2_
            "f1_route_reliability", "f2_stop_performance", "f3_delay_analysis", "f4_alert_summary",
            "n01_alerts_active", "n09_map_stations", "n15_overview_system_enhanced",
            "n28_stations_detail_enhanced", "n36_trip_find_routes", "n38_trip_search_stops",
-           "c4_idempotent_append", "p8_quality_suite_raw", "p11_schema_tests_staging"]
+           "c4_idempotent_append", "c7_merge_on_keys", "c8_dedupe_vehicles", "p8_quality_suite_raw",
+           "p11_schema_tests_staging", "p14b_delay_range", "p14c_statistics_drift", "n38b_trip_search_many",
+           "n36b_trip_pair_options", "o22_first_stop_pair", "e1b_incremental_delays", "q3_stream_latest_predictions",
+           "q3b_stream_latest_per_service_date", "q5_stream_delay_enrichment", "r06b_leak_free_history",
+           "i06_sketched_quantiles", "m14_delay_status", "r16f_residual_formula", "r22f_pr_curve_formula"]
 
 
 def _keys():
@@ -44,8 +48,9 @@ def test_entry_smoke(spark):
 
 
 #: JSON text that the engines format differently, a composition of three
-#: queries, and the jobs that fit a model (their formulas have oracles: r..f).
-ROWS_ONLY = {"c16_geojson_route_lines", "o04_trip_options", "r13_forest_regression", "r14_forest_classification",
+#: queries, ages of files, and the jobs that fit a model (their formulas have oracles: r..f).
+ROWS_ONLY = {"c16_geojson_route_lines", "o04_trip_options", "p9b_file_freshness", "r16b_residual_statistics",
+             "r17f_best_class_report", "r22b_precision_recall_curve", "r13_forest_regression", "r14_forest_classification",
              "r18_feature_importance", "r15_regression_metrics", "r15b_classification_metrics",
              "r16_best_regression_model", "r17_roc_curve", "r17b_confusion_matrix", "r19_cross_validation",
              "r20_error_by_route", "r21_classification_by_route", "r21b_classification_by_hour",
