@@ -26,7 +26,9 @@ payload's length and digest in its headers.
 
 Defined cases: a null payload is empty; a null target is left out; line
 breaks in a target are percent-encoded; an empty table writes a list of no
-files and reads back empty; plain ``.warc`` files are read too.
+files and reads back empty; plain ``.warc`` files are read too; a gzip member of
+another writer may hold many records; a file that ends inside a record or a
+member raises ``ValueError`` with its path and place.
 """
 
 from __future__ import annotations
@@ -122,7 +124,7 @@ class _File:
 
     def __init__(self, path: str):
         fs, at = _open(path)
-        self.f = fs.open_input_file(at)
+        self.f, self.path = fs.open_input_file(at), path
         self.size, self.at, self.held = self.f.size(), 0, b""
 
     def read(self, pos: int, n: int) -> bytes:
@@ -133,12 +135,60 @@ class _File:
         return self.held[pos - self.at:pos - self.at + n]
 
 
+def _cut_short(f: _File, pos: int) -> ValueError:
+    return ValueError(f"{f.path}: the record at byte {pos} is cut short")
+
+
+class _Member:
+    """The bytes of a gzip member, inflated as they are asked for."""
+
+    def __init__(self, f: _File, start: int):
+        self.f, self.at, self.held = f, start, b""
+        self.z, self.step = zlib.decompressobj(-15), 1024
+
+    def more(self) -> bool:
+        if self.z.eof or self.at >= self.f.size:
+            return False
+        chunk = self.f.read(self.at, self.step)
+        self.at += len(chunk)
+        self.held += self.z.decompress(chunk)
+        self.step = 1 << 16
+        return True
+
+    def head(self) -> bytes | None:
+        """The next record's header block; None at the member's end or where it is cut."""
+        while _BREAK not in self.held.lstrip(b"\r\n"):
+            if not self.more():
+                return None
+        head, _, self.held = self.held.lstrip(b"\r\n").partition(_BREAK)
+        return head
+
+    def take(self, n: int, keep: bool) -> bytes | None:
+        """The next ``n`` bytes (empty if they are not kept); None if the member holds fewer."""
+        parts = []
+        while n:
+            if not self.held and not self.more():
+                return None
+            part, self.held = self.held[:n], self.held[n:]
+            n -= len(part)
+            if keep:
+                parts.append(part)
+        return b"".join(parts)
+
+    def end(self) -> int | None:
+        """Place behind the member; None if the file ends before it."""
+        while self.more():
+            self.held = b""
+        return self.at - len(self.z.unused_data) + 8 if self.z.eof else None
+
+
 def _gzip_records(f: _File, wanted) -> Iterator[tuple[dict, bytes]]:
+    """Records of gzip members; a member may hold one or, in other writers' files, many."""
     pos = 0
     while pos < f.size:
         head = f.read(pos, 10)
         if head[:3] != b"\x1f\x8b\x08":
-            raise ValueError(f"no gzip member at byte {pos}")
+            raise ValueError(f"{f.path}: no gzip member at byte {pos}")
         start, skip = pos + 10, None
         if head[3] & 4:
             (n,) = struct.unpack("<H", f.read(start, 2))
@@ -155,45 +205,44 @@ def _gzip_records(f: _File, wanted) -> Iterator[tuple[dict, bytes]]:
                     start += 1
                 start += 1
         start += 2 if head[3] & 2 else 0
-        z, at, text, step = zlib.decompressobj(-15), start, b"", 1024
-        while _BREAK not in text and not z.eof and at < f.size:
-            chunk = f.read(at, step)
-            at += len(chunk)
-            text += z.decompress(chunk)
-            step = 1 << 16
-        fields = parse(text[:text.index(_BREAK)])
-        keep = wanted(fields)
-        if not keep and skip:
+        member = _Member(f, start)
+        while (text := member.head()) is not None:
+            fields = parse(text)
+            keep = wanted(fields)
+            if not keep and skip:
+                break
+            block = member.take(fields["content_length"], keep)
+            if block is None:
+                raise _cut_short(f, pos)
+            if keep:
+                yield fields, block
+        if text is not None:
             pos += skip
             continue
-        parts = [text]
-        while not z.eof and at < f.size:
-            chunk = f.read(at, 1 << 16)
-            at += len(chunk)
-            got = z.decompress(chunk)
-            if keep:
-                parts.append(got)
-        pos = at - len(z.unused_data) + 8
-        if keep:
-            block = b"".join(parts)
-            a = block.index(_BREAK) + 4
-            yield fields, block[a:a + fields["content_length"]]
+        left, end = member.held.strip(b"\r\n"), member.end()
+        if left or end is None:
+            raise _cut_short(f, pos)
+        pos = end
 
 
 def _plain_records(f: _File, wanted) -> Iterator[tuple[dict, bytes]]:
     pos = 0
     while pos < f.size:
         n = 4096
-        while _BREAK not in (head := f.read(pos, n)) and n < f.size - pos:
+        while _BREAK not in (head := f.read(pos, n)).lstrip(b"\r\n") and n < f.size - pos:
             n *= 4
-        if _BREAK not in head:
+        text = head.lstrip(b"\r\n")
+        if not text:
             break
-        end = head.index(_BREAK)
-        fields = parse(head[:end].lstrip(b"\r\n"))
-        block = pos + end + 4
+        if _BREAK not in text:
+            raise _cut_short(f, pos)
+        fields = parse(text[:text.index(_BREAK)])
+        block = pos + len(head) - len(text) + text.index(_BREAK) + 4
+        if block + fields["content_length"] > f.size:
+            raise _cut_short(f, pos)
         if wanted(fields):
             yield fields, f.read(block, fields["content_length"])
-        pos = block + fields["content_length"] + 4
+        pos = block + fields["content_length"]
 
 
 def _payload(fields: dict, block: bytes) -> bytes | None:
