@@ -19,6 +19,9 @@ DEFAULT = ["d5_stg_predictions", "d7_stg_alerts", "e1_scheduled_vs_actual", "e2_
            "p11_schema_tests_staging", "p14b_delay_range", "p14c_statistics_drift", "n38b_trip_search_many",
            "n36b_trip_pair_options", "o22_first_stop_pair", "e1b_incremental_delays", "q3_stream_latest_predictions",
            "q3b_stream_latest_per_service_date", "q5_stream_delay_enrichment", "r06b_leak_free_history",
+           "a2_landed_hour", "a8_seed_scan", "b5_prediction_documents_to_staging", "c1_daily_landing",
+           "c6_column_intersection", "c9_load_all", "c11_store_sql", "c12_copied_tree", "c15_route_report",
+           "c16b_station_points", "c16c_route_line_points", "s1_sql_functions", "r08_late_distribution",
            "i06_sketched_quantiles", "m14_delay_status", "r16f_residual_formula", "r22f_pr_curve_formula"]
 
 

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 
 from tests.test_loads import preds, routes
 from transitlake.functions.labels import delay_status
-from transitlake.operators import tables, trees
+from transitlake.operators import loads, tables, trees
 from transitlake.operators.loads import RawStore
+from transitlake.plans import staging
+from transitlake.plans.models import Models
+from transitlake.sources import landed
 
 
 def test_merge_inserts_unseen_keys_only(spark, tmpdir_path):
@@ -79,3 +82,40 @@ def test_delay_status(spark):
     assert got[:6] == [("0.0 min on time", "0.0 on time"), ("0.0 min on time", "0.0 on time"),
                        ("0.0 min on time", "0.0 on time"), ("0.1 min delayed", "0.1 delayed"),
                        ("3.3 min early", "3.3 early"), ("12.0 min delayed", "12.0 delayed")]
+
+
+def test_a_seed_with_other_columns_is_an_error(spark, tmpdir_path):
+    good, bad = f"{tmpdir_path}/good", f"{tmpdir_path}/bad"
+    seed = landed.route_type_seed(spark)
+    seed.write.option("header", True).csv(good)
+    seed.withColumnRenamed("route_type_name", "label").write.option("header", True).csv(bad)
+    assert sorted(landed.read_seed(spark, good).collect()) == sorted(seed.collect())
+    with pytest.raises(Exception, match="header"):
+        landed.read_seed(spark, bad).collect()
+
+
+def test_a_declared_schema_reads_files_of_any_columns(spark, tmpdir_path):
+    spark.range(2).selectExpr("cast(id as string) route_id", "'x' long_name").write.parquet(f"{tmpdir_path}/in/a")
+    spark.range(1).selectExpr("'9' route_id", "'y' other").write.parquet(f"{tmpdir_path}/in/b")
+    st = RawStore(spark, f"{tmpdir_path}/store")
+    assert st.load_path("routes", f"{tmpdir_path}/in", declared=True) == 3
+    rows = st.rows("routes")
+    assert "other" not in rows.columns and {r.route_id: r.long_name for r in rows.collect()} == {
+        "0": "x", "1": "x", "9": None}
+
+
+def test_route_report_fills_gaps(spark):
+    df = spark.createDataFrame([("1", None, None, None, -0.25, None), ("2", "", "Bus", 99.96, 1.0, 7)],
+                               "route_id string, route_name string, route_type_desc string, on_time_pct double, "
+                               "avg_delay_minutes double, total_predictions long")
+    got = [tuple(r) for r in loads.route_report(df).collect()]
+    assert got == [("1", "1", "", "0.0", "-0.3", "0"), ("2", "2", "Bus", "100.0", "1.0", "7")]
+
+
+def test_marts_read_narrow_predictions(spark):
+    m = Models.from_dir(spark, "/root/testdata/sf0.001")
+    narrow = m._mart_delays
+    assert not {"status", "revenue", "vehicle_id"} & set(narrow.columns)
+    assert narrow.exceptAll(m.scheduled_vs_actual.select(*narrow.columns)).isEmpty()
+    cols = ["trip_id", "stop_id", "extracted_at"]
+    assert staging.stg_predictions(m.raw.predictions, cols).exceptAll(m.stg_predictions.select(*cols)).isEmpty()

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from transitlake.functions.core import nullif_empty, round_half_away
 from transitlake.operators.latest import dedupe_on
 from transitlake.operators.tables import cluster_for_partitioned_write
 from transitlake.session import ensure_conf
@@ -117,6 +118,20 @@ def partition_columns(df: DataFrame, ts_col: str = "extracted_at", hourly: bool
     return df.withColumn("hr", F.date_format(ts, "HH")) if hourly else df
 
 
+# Columns of the route report (fixed values of the source).
+ROUTE_REPORT = ("Route ID", "Route Name", "Mode", "On-Time %", "Avg Delay (min)", "Trips")
+
+
+def route_report(routes: DataFrame) -> DataFrame:
+    """The route report as text: no name shows the id, no number shows zero, measures keep one decimal."""
+    def tenths(c: str) -> Column:
+        return round_half_away(F.coalesce(c, F.lit(0.0)), 1).cast("decimal(18,1)").cast("string")
+    cols = (F.col("route_id"), F.coalesce(nullif_empty("route_name"), "route_id"),
+            F.coalesce("route_type_desc", F.lit("")), tenths("on_time_pct"), tenths("avg_delay_minutes"),
+            F.coalesce("total_predictions", F.lit(0)).cast("string"))
+    return routes.select(*[c.alias(n) for c, n in zip(cols, ROUTE_REPORT, strict=True)])
+
+
 def report_csv(df: DataFrame, path: str, columns: Sequence[str]) -> str:
     """Export selected report columns as headed CSV files."""
     df.select(*columns).write.mode("overwrite").option("header", True).csv(path)
@@ -151,7 +166,8 @@ def stations_geojson(stations: DataFrame) -> DataFrame:
     feature = F.struct(
         F.lit("Feature").alias("type"),
         F.struct(F.lit("Point").alias("type"),
-                 F.array(F.round("longitude", 5), F.round("latitude", 5)).alias("coordinates")).alias("geometry"),
+                 F.array(round_half_away("longitude", 5), round_half_away("latitude", 5)).alias("coordinates"))
+        .alias("geometry"),
         F.struct(*[c for c in s.columns if c not in ("latitude", "longitude")]).alias("properties"))
     return s.select("stop_id", F.to_json(feature).alias("feature"))
 
@@ -228,14 +244,16 @@ class RawStore:
         return df.drop(DT) if DT in df.columns else df
 
     # -- sources --------------------------------------------------------------
-    def read_source(self, path: str, glob: str | None = None) -> DataFrame:
+    def read_source(self, path: str, glob: str | None = None, schema: T.StructType | None = None) -> DataFrame:
         """All Parquet files under ``path`` (recursive; union by column name).
 
         Partition discovery is off: directory names like ``extracted_at=…``
-        must not override the in-file columns.
+        must not override the in-file columns. With a ``schema`` no footer is
+        read before the scan: columns that a file lacks are NULL, others are
+        left out. Without one the schemas of all files are merged.
         """
-        r = (self.spark.read.option("recursiveFileLookup", "true")
-             .option("mergeSchema", "true"))
+        r = self.spark.read.option("recursiveFileLookup", "true")
+        r = r.schema(schema) if schema is not None else r.option("mergeSchema", "true")
         if glob:
             r = r.option("pathGlobFilter", glob)
         return r.parquet(path)
@@ -325,9 +343,10 @@ class RawStore:
                 session.read.parquet(self.table_path(n)).createOrReplaceTempView(f"raw_{n}")
         return session.sql(query)
 
-    def load_path(self, name: str, path: str, glob: str | None = None) -> int:
-        entity(name)
-        return self.load(name, self.read_source(path, glob))
+    def load_path(self, name: str, path: str, glob: str | None = None, declared: bool = False) -> int:
+        """Load the files under ``path``; ``declared`` reads them with the entity's declared schema."""
+        schema = entity(name).schema if declared else None
+        return self.load(name, self.read_source(path, glob, schema))
 
     def dedupe(self, name: str) -> int:
         """Remove duplicate rows by the entity key (no-op without keys);

@@ -37,3 +37,4 @@ from transitlake.plans import catalog_ml  # noqa: F401,E402
 from transitlake.plans import catalog_explore  # noqa: F401,E402
 from transitlake.plans import catalog_pairs  # noqa: F401,E402
 from transitlake.plans import catalog_incremental  # noqa: F401,E402
+from transitlake.plans import catalog_stores  # noqa: F401,E402

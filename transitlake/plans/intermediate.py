@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from transitlake.functions.core import seconds_between, service_date
 from transitlake.functions.labels import delay_category, severity_category
+from transitlake.plans.staging import PREDICTION_COLS
 
 # Delays (seconds) that the model keeps (fixed values of the source).
 DELAY_RANGE = (-1800, 3600)
@@ -27,6 +28,7 @@ def scheduled_vs_actual(stg_predictions: DataFrame, stg_schedules: DataFrame,
     """Delay of every latest prediction against its same-service-day schedule.
 
     ``in_range=False`` keeps the delays that the model drops as impossible.
+    Columns of predictions that the input lacks are left out of the result.
 
     The source model left-joins and then drops rows whose delay is NULL, so
     an unmatched prediction never survives: the join is written as an inner
@@ -59,29 +61,33 @@ def scheduled_vs_actual(stg_predictions: DataFrame, stg_schedules: DataFrame,
     stops = stg_stops.select("stop_id", "stop_name", "municipality", "latitude", "longitude")
     return (c.join(routes, "route_id", "left")
              .join(stops, "stop_id", "left")
-             .select(*SVA_COLS))
+             .select(*[x for x in SVA_COLS if x in c.columns or x not in PREDICTION_COLS]))
 
 
 def stop_activity(stg_vehicles: DataFrame, stg_stops: DataFrame,
                   stg_routes: DataFrame) -> DataFrame:
-    """Hourly vehicle activity per stop / route / direction."""
+    """Hourly vehicle activity per stop / route / direction.
+
+    Snapshots are aggregated by their keys first; names are joined to the few
+    groups that are left.
+    """
+    st = F.col("current_status")
     v = (stg_vehicles.filter(F.col("stop_id").isNotNull())
-         .withColumn("activity_hour", F.date_trunc("hour", "extracted_at")))
+         .groupBy("stop_id", "route_id", F.date_trunc("hour", "extracted_at").alias("activity_hour"), "direction_id")
+         .agg(F.countDistinct("vehicle_id").alias("vehicle_count"),
+              F.count(F.lit(1)).alias("observation_count"),
+              F.avg("avg_occupancy_pct").alias("mean_occupancy_pct"),
+              F.max("avg_occupancy_pct").alias("max_occupancy_pct"),
+              F.min("avg_occupancy_pct").alias("min_occupancy_pct"),
+              F.count_if(st == "STOPPED_AT").alias("stopped_count"),
+              F.count_if(st == "IN_TRANSIT_TO").alias("in_transit_count"),
+              F.count_if(st == "INCOMING_AT").alias("incoming_count")))
     stops = stg_stops.select("stop_id", "stop_name", "municipality", "location_type_desc")
     routes = F.broadcast(stg_routes.select(
         "route_id", F.col("long_name").alias("route_name"), "route_type_desc"))
-    st = F.col("current_status")
     return (v.join(stops, "stop_id", "left").join(routes, "route_id", "left")
-            .groupBy("stop_id", "stop_name", "municipality", "location_type_desc", "route_id",
-                     "route_name", "route_type_desc", "activity_hour", "direction_id")
-            .agg(F.countDistinct("vehicle_id").alias("vehicle_count"),
-                 F.count(F.lit(1)).alias("observation_count"),
-                 F.avg("avg_occupancy_pct").alias("mean_occupancy_pct"),
-                 F.max("avg_occupancy_pct").alias("max_occupancy_pct"),
-                 F.min("avg_occupancy_pct").alias("min_occupancy_pct"),
-                 F.count_if(st == "STOPPED_AT").alias("stopped_count"),
-                 F.count_if(st == "IN_TRANSIT_TO").alias("in_transit_count"),
-                 F.count_if(st == "INCOMING_AT").alias("incoming_count")))
+            .select("stop_id", "stop_name", "municipality", "location_type_desc", "route_id", "route_name",
+                    "route_type_desc", "activity_hour", "direction_id", *v.columns[4:]))
 
 
 def alert_impacts(stg_alerts: DataFrame) -> DataFrame:

@@ -3,7 +3,9 @@
 ``Models`` wires staging → intermediate → marts lazily; each attribute is a
 DataFrame (a logical plan), built once per instance. ``materialize`` writes
 the heavy shared intermediate (scheduled-vs-actual, read by four marts and
-many queries) partitioned by service date, as a batch job would.
+many queries), on request partitioned by service date, as a batch job would.
+The delay marts read it without the columns that they have no use for; they
+are dropped before the latest-per-key aggregate.
 """
 
 from __future__ import annotations
@@ -17,12 +19,17 @@ from transitlake.plans import marts, staging
 from transitlake.sources.proxy import RawTables
 
 
+#: Columns of predictions that reach a delay mart.
+MART_PREDICTION_COLS = ("route_id", "stop_id", "trip_id", "direction_id", "predicted_arrival", "predicted_departure")
+
+
 class Models:
     def __init__(self, raw: RawTables, tz: str = "UTC", local_hours: bool = False):
         self.raw = raw
         self.spark: SparkSession = raw.spark
         self.tz = tz
         self.local_hours = local_hours
+        self._written: set[str] = set()
 
     @classmethod
     def from_dir(cls, spark: SparkSession, sf_dir: str, **kw) -> "Models":
@@ -80,17 +87,25 @@ class Models:
         return inter.weather_transit(self.scheduled_vs_actual, self.stg_weather)
 
     # marts
+    @cached_property
+    def _mart_delays(self) -> DataFrame:
+        """Delays for the marts: the written table if there is one, else without columns they don't read."""
+        if "scheduled_vs_actual" in self._written:
+            return self.scheduled_vs_actual
+        narrow = staging.stg_predictions(self.raw.predictions, MART_PREDICTION_COLS)
+        return inter.scheduled_vs_actual(narrow, self.stg_schedules, self.stg_routes, self.stg_stops, self.tz)
+
     @cached_property
     def route_reliability(self) -> DataFrame:
-        return marts.route_reliability(self.scheduled_vs_actual)
+        return marts.route_reliability(self._mart_delays)
 
     @cached_property
     def stop_performance(self) -> DataFrame:
-        return marts.stop_performance(self.scheduled_vs_actual, self.stop_activity)
+        return marts.stop_performance(self._mart_delays, self.stop_activity)
 
     @cached_property
     def delay_analysis(self) -> DataFrame:
-        return marts.delay_analysis(self.scheduled_vs_actual, self.tz, self.local_hours)
+        return marts.delay_analysis(self._mart_delays, self.tz, self.local_hours)
 
     @cached_property
     def alert_summary(self) -> DataFrame:
@@ -115,4 +130,7 @@ class Models:
             part = ("service_date",) if partition_by_date and "service_date" in df.columns else ()
             write_model(df, path, partition_by=part, cluster_by=self.CLUSTER.get(name, ()))
             self.__dict__[name] = self.spark.read.parquet(path)
+            self._written.add(name)
+            for mart in ("_mart_delays", "route_reliability", "stop_performance", "delay_analysis"):
+                self.__dict__.pop(mart, None)
         return self

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,14 +63,21 @@ def typed_predictions(raw: DataFrame) -> DataFrame:
         "route_id", "stop_id", "trip_id", "vehicle_id", to_ts("extracted_at").alias("extracted_at"))
 
 
-def stg_predictions(raw: DataFrame) -> DataFrame:
+def stg_predictions(raw: DataFrame, columns: Sequence[str] = PREDICTION_COLS) -> DataFrame:
     """Latest prediction per (trip_id, stop_id) by ``extracted_at``.
 
+    ``columns`` cuts the rows before the aggregate, through which columns
+    cannot be pruned; keys and ordering columns always come along.
+
     Ties on ``extracted_at`` are broken by prediction id, then predicted
     arrival and departure (descending), so the survivor is deterministic.
     """
-    return latest_per_key(typed_predictions(raw), ["trip_id", "stop_id"],
-                          PREDICTION_ORDER).select(*PREDICTION_COLS)
+    return latest_per_key(_narrow(typed_predictions(raw), columns, ["trip_id", "stop_id", *PREDICTION_ORDER]),
+                          ["trip_id", "stop_id"], PREDICTION_ORDER).select(*columns)
+
+
+def _narrow(df: DataFrame, columns: Sequence[str], needed: Sequence[str]) -> DataFrame:
+    return df.select(*[c for c in df.columns if c in columns or c in needed])
 
 
 VEHICLE_COLS = ["vehicle_id", "label", "latitude", "longitude", "bearing", "speed",
@@ -87,12 +96,14 @@ def stg_vehicles_stream(raw: DataFrame) -> DataFrame:
         "route_id", "stop_id", "trip_id", to_ts("extracted_at").alias("extracted_at"))
 
 
-def stg_vehicles(raw: DataFrame) -> DataFrame:
-    """One row per (vehicle_id, extracted_at)."""
-    typed = stg_vehicles_stream(raw)
-    return latest_per_key(typed, ["vehicle_id", "extracted_at"],
-                          ["vehicle_updated_at", "trip_id", "stop_id", "route_id",
-                           "latitude", "longitude"]).select(*VEHICLE_COLS)
+VEHICLE_ORDER = ["vehicle_updated_at", "trip_id", "stop_id", "route_id", "latitude", "longitude"]
+
+
+def stg_vehicles(raw: DataFrame, columns: Sequence[str] = VEHICLE_COLS) -> DataFrame:
+    """One row per (vehicle_id, extracted_at); ``columns`` as in ``stg_predictions``."""
+    keys = ["vehicle_id", "extracted_at"]
+    typed = _narrow(stg_vehicles_stream(raw), columns, [*keys, *VEHICLE_ORDER])
+    return latest_per_key(typed, keys, VEHICLE_ORDER).select(*columns)
 
 
 ALERT_COLS = ["alert_id", "cause", "effect", "severity", "lifecycle", "header", "description",
@@ -101,8 +112,14 @@ ALERT_COLS = ["alert_id", "cause", "effect", "severity", "lifecycle", "header",
               "affected_routes", "affected_stops", "informed_entity_count", "extracted_at"]
 
 
-def stg_alerts(raw: DataFrame) -> DataFrame:
-    """Latest version per alert by coalesce(updated_at, extracted_at), then extracted_at."""
+ALERT_ORDER = ["updated_at", "extracted_at", "header"]
+
+
+def stg_alerts(raw: DataFrame, columns: Sequence[str] = ALERT_COLS) -> DataFrame:
+    """Latest version per alert by coalesce(updated_at, extracted_at), then extracted_at.
+
+    ``columns`` as in ``stg_predictions``.
+    """
     typed = raw.filter(F.col("alert_id").isNotNull()).select(
         "alert_id", "cause", "effect", "severity", "lifecycle", "header", "description",
         nullif_empty("short_header").alias("short_header"), "service_effect",
@@ -111,9 +128,9 @@ def stg_alerts(raw: DataFrame) -> DataFrame:
         to_ts("updated_at").alias("updated_at"),
         to_ts("closed_timestamp").alias("closed_timestamp"), "url", "affected_routes",
         "affected_stops", "informed_entity_count", to_ts("extracted_at").alias("extracted_at"))
-    return latest_per_key(typed, ["alert_id"],
+    return latest_per_key(_narrow(typed, columns, ["alert_id", *ALERT_ORDER]), ["alert_id"],
                           [F.coalesce("updated_at", "extracted_at"), "extracted_at",
-                           "header"]).select(*ALERT_COLS)
+                           "header"]).select(*columns)
 
 
 def stg_weather(raw: DataFrame) -> DataFrame:

@@ -16,6 +16,11 @@ def route_type_seed(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, ROUTE_TYPE_MAPPING)
 
 
+def read_seed(spark: SparkSession, path: str, schema: T.StructType = ROUTE_TYPE_MAPPING) -> DataFrame:
+    """A headed seed CSV in its declared types (A8); a header that names other columns is an error."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).csv(path)
+
+
 def empty_frame(spark: SparkSession, schema: T.StructType) -> DataFrame:
     """Typed empty frame for an entity with no input."""
     return spark.createDataFrame([], schema)
