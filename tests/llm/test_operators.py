@@ -418,6 +418,16 @@ def test_targets_fill_up_to_their_caps(session):
         assert got[s].weight == weight[s] and abs(got[s].target - target[s]) < 1e-6
 
 
+def test_mix_spreads_rows_without_ids(session):
+    # Half the rows have no id and come from one source; their texts differ.
+    df = session.range(4000).selectExpr("CASE WHEN id % 2 = 0 THEN id END AS doc_id",
+                                        "concat('word ', id) AS text", "'web' AS source")
+    key = df.select(F.substring(mixing.shuffle_key(F.col("doc_id"), F.col("text")), 1, 1).alias("k"))
+    sizes = [r["count"] for r in key.groupBy("k").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 1.5 * 4000 / 16
+    assert mixing.mix(df).agg(F.count("*"), F.sum(F.col("size") * F.col("times"))).first() == (4000, 8000)
+
+
 def test_mix_comes_near_targets(session):
     rows = [(i, "w " * (1 + i % 9), "abc"[i % 3] if i % 5 else "a") for i in range(3000)]
     df = session.createDataFrame(rows, "doc_id long, text string, source string")

@@ -29,7 +29,7 @@ def job(key: str, sql: str | None = None):
 
 _MIX_SQL = """
 WITH RECURSIVE d AS (
-  SELECT doc_id, source, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS k,
+  SELECT doc_id, source, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || '|' || coalesce(md5(text), '')), 1, 12) AS k,
          CAST(coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0) AS BIGINT) AS size
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size,

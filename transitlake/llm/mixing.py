@@ -16,7 +16,8 @@ with the rows, so a hot source is spread over many of them.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
 last in order; a source whose documents are all empty has target 0; a
-document of size 0 takes 0 words; repeated rows are documents of their own;
+document of size 0 takes 0 words; repeated rows are documents of their own
+(those with one id and different texts spread over the ranges);
 an empty table gives an empty result.
 """
 
@@ -34,7 +35,7 @@ MAX_EPOCHS = 3
 WEIGHTS = (1, 2, 3)
 #: Rows that a range of the shuffle key or a bin of finish times holds on average.
 ROWS_PER_RANGE = 2000
-#: Hex digits of the md5 of the id that make the shuffle key.
+#: Hex digits of the md5 of id and text that make the shuffle key.
 KEY_DIGITS = 12
 
 
@@ -42,6 +43,13 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def shuffle_key(doc_id: Column, text: Column) -> Column:
+    """The text is part of the key, so that rows that repeat an id, or have none, spread over the ranges."""
+    whole = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit("|"),
+                     F.coalesce(F.md5(text.cast("binary")), F.lit("")))
+    return F.substring(F.md5(whole.cast("binary")), 1, KEY_DIGITS)
+
+
 def source_targets(sizes: DataFrame) -> DataFrame:
     """(source, rank, weight, source_size, target) from rows of (source, size).
 
@@ -81,8 +89,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = cut(docs.select(
         *[F.col(c).alias(f"k_{c}") for c in keep],
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
-        F.substring(F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")), 1, KEY_DIGITS)
-        .alias("key")))
+        shuffle_key(F.col(id_col), F.col(text_col)).alias("key")))
     targets = cut(source_targets(rows.select("source", "size")))
     n, budget = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     ranges = max(16, n // ROWS_PER_RANGE)
