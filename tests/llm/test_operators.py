@@ -115,6 +115,34 @@ def test_bpe_equals_the_library(odd, nothing):
     assert bpe.encode(nothing, tokenizer("word_bpe_49k.json")).count() == 0
 
 
+def _with_added(folder, content: str) -> str:
+    import json
+    with open(tokenizer("word_bpe_49k.json"), encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["added_tokens"].append({"id": len(spec["model"]["vocab"]) + len(spec["added_tokens"]), "content": content, "single_word": False,
+                                 "lstrip": False, "rstrip": False, "normalized": False, "special": True})
+    path = f"{folder}/tokenizer.json"
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(spec, f)
+    return path
+
+
+def test_bpe_finds_any_added_token(tmp_path):
+    from tokenizers import Tokenizer
+    path = _with_added(tmp_path, "[MASK]")
+    tok, mine = Tokenizer.from_file(path), bpe.ForcedBoundaryBPE(path)
+    tok.no_truncation()
+    tok.no_padding()
+    for text in ("ab[MASK]cd [MASK]", "[MASK][MASK]x", "[mask] [MASK", "no token here"):
+        ids = tok.encode(text, add_special_tokens=False).ids
+        assert list(struct.unpack(f"<{len(ids)}I", mine.encode(text.encode()))) == ids
+
+
+def test_bpe_refuses_added_tokens_with_white_space(tmp_path):
+    with pytest.raises(ValueError, match="white space"):
+        bpe.ForcedBoundaryBPE(_with_added(tmp_path, "a b"))
+
+
 def test_forced_boundaries_are_outside_all_tokens():
     b = bpe.ForcedBoundaryBPE(tokenizer("word_bpe_49k.json"))
     pieces = b.cut("qxzjvqöä")

@@ -29,6 +29,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import os
 import re
 import struct
 from collections.abc import Iterator
@@ -106,9 +107,14 @@ class ForcedBoundaryBPE:
         added = spec.get("added_tokens") or []
         if any(t["single_word"] or t["lstrip"] or t["rstrip"] or t["normalized"] for t in added):
             raise ValueError("added tokens must be literal")
+        if any(not t["content"] or len(t["content"].encode().split()) != 1
+               or t["content"] != t["content"].strip() for t in added):
+            raise ValueError("added tokens must be words: texts are split at white space first")
         self.added = {t["content"]: t["id"] for t in added}
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         longest = sorted(self.added, key=len, reverse=True)
+        # A word without any of their first characters holds no added token.
+        self.marks = tuple({t[0] for t in self.added})
         self.literal = re.compile("|".join(map(re.escape, longest))) if longest else None
         self.simple = _simple_pattern(spec)
         self.letters = byte_letters()
@@ -210,7 +216,7 @@ class ForcedBoundaryBPE:
 
     def _word(self, word: bytes) -> bytes:
         text, ids, at = word.decode(), [], 0
-        if self.literal and "<" in text:
+        if self.literal and any(m in text for m in self.marks):
             for m in self.literal.finditer(text):
                 ids += self._plain(text[at:m.start()])
                 ids.append(self.added[m.group()])
@@ -227,10 +233,15 @@ class ForcedBoundaryBPE:
         return b" ".join(map(self.spoken.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-def worker(path: str) -> ForcedBoundaryBPE:
-    if path not in _workers:
-        _workers[path] = ForcedBoundaryBPE(path)
-    return _workers[path]
+def worker(tokenizer: str) -> ForcedBoundaryBPE:
+    """The worker's encoder; a bare file name is looked up among the worker's own public tokenizers."""
+    if tokenizer not in _workers:
+        path = tokenizer
+        if os.sep not in tokenizer:
+            import public_tokenizers
+            path = public_tokenizers.path(tokenizer)
+        _workers[tokenizer] = ForcedBoundaryBPE(path)
+    return _workers[tokenizer]
 
 
 def encode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text",

@@ -84,7 +84,7 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 @job("op8_forced_boundary_bpe")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents encoded and decoded by forced-boundary splitting."""
-    return bpe.encode(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"), ids=False,
+    return bpe.encode(table(spark, sf_dir, "documents"), "word_bpe_49k.json", ids=False,
                       decoded=False)
 
 
