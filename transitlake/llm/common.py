@@ -6,12 +6,14 @@ of their input, so extra columns never clash with the working columns.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import sys
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -99,6 +101,29 @@ def crc_mod(id_col: str, n: int):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % n
 
 
+def tidy(run: Callable) -> Callable:
+    """``run``, giving freed memory back to the system as its task ends.
+
+    Workers wait for their next task beside the JVM; without this they hold
+    the largest batch that they ever worked on.
+    """
+    @functools.wraps(run)
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+    return whole
+
+
+def release() -> None:
+    """Free memory that Arrow's pool and the C library keep for later."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def pieces(batch: pa.RecordBatch, col: str, limit: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Row ranges of ``batch`` whose ``col`` holds about ``limit`` bytes (one row at least)."""
     text = batch.column(batch.schema.get_field_index(col))

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitlake.llm import words
-from transitlake.llm.common import cut, pieces, rejoin
+from transitlake.llm.common import cut, pieces, rejoin, tidy
 from transitlake.llm.components import components
 
 BANDS, ROWS = 50, 7
@@ -119,7 +119,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
                     [part.column(0), pa.array(n, pa.int64()), pa.array(d1), pa.array(d2), bands],
                     ["doc_id", "n_shingles", "d1", "d2", "bands"])
 
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, n_shingles long, d1 long, d2 long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: DataFrame) -> DataFrame:
@@ -138,7 +138,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, size: int, wanted: Da
                     [part.column(0), pa.array(np.diff(at), pa.int64()), pa.array(sigs, pa.binary()),
                      pa.array([k.tobytes() for k in sets], pa.binary())], ["v", "n", "sig", "shingles"])
 
-    return rows.mapInArrow(run, "v long, n long, sig binary, shingles binary")
+    return rows.mapInArrow(tidy(run), "v long, n long, sig binary, shingles binary")
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -170,11 +170,11 @@ def _confirm(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = pairs.join(sig.select(F.col("v").alias("b"), F.col("n").alias("nb"), F.col("sig").alias("sb")), "b")
     rows = rows.join(sig.select(F.col("v").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a")
     rows = rows.filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    rows = rows.select("a", "b", "sa", "sb").mapInArrow(alike, "a long, b long")
+    rows = rows.select("a", "b", "sa", "sb").mapInArrow(tidy(alike), "a long, b long")
     keys = sets.select("v", "shingles")
     rows = rows.join(keys.select(F.col("v").alias("b"), F.col("shingles").alias("kb")), "b")
     rows = rows.join(keys.select(F.col("v").alias("a"), F.col("shingles").alias("ka")), "a")
-    return rows.select("a", "b", "ka", "kb").mapInArrow(linked, "hi long, lo long")
+    return rows.select("a", "b", "ka", "kb").mapInArrow(tidy(linked), "hi long, lo long")
 
 
 def _overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitlake.llm import words
-from transitlake.llm.common import cut, pieces
+from transitlake.llm.common import cut, pieces, tidy
 
 BITS = 18
 TRAIN_ROWS = 16_000
@@ -135,7 +135,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                      pa.array([v for _, _, v in got], pa.list_(pa.float64()))],
                     ["shard", "place", "label", "slots", "vals"])
 
-    examples = cut(rows.mapInArrow(featurise, "shard long, place long, label double, slots array<int>, "
+    examples = cut(rows.mapInArrow(tidy(featurise), "shard long, place long, label double, slots array<int>, "
                                               "vals array<double>"))
     z, n = np.zeros(_DIM + 1), np.zeros(_DIM + 1)
     spark = docs.sparkSession
@@ -166,7 +166,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
         # A shard is about TRAIN_ROWS / SHARDS examples; its rows stream through one task.
         shards = examples.repartition(SHARDS, "shard").sortWithinPartitions("shard", "place", "label")
-        means = (shards.mapInArrow(one_shard, "slot long, z double, n double")
+        means = (shards.mapInArrow(tidy(one_shard), "slot long, z double, n double")
                  .groupBy("slot").agg(F.sort_array(F.collect_list(F.struct("z", "n"))).alias("x")).toArrow())
         z, n = z.copy(), n.copy()
         lists = means.column("x").combine_chunks()
@@ -198,4 +198,4 @@ def score(docs: DataFrame, w: np.ndarray, id_col: str = "doc_id", text_col: str
                     [*part.schema.names[1:], score_col])
 
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
-    return rows.mapInArrow(run, f"{kept}, {score_col} double")
+    return rows.mapInArrow(tidy(run), f"{kept}, {score_col} double")

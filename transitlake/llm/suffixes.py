@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from transitlake.llm import words
-from transitlake.llm.common import cut, pieces, rejoin
+from transitlake.llm.common import cut, pieces, rejoin, tidy
 
 #: Words of the shortest passage, and of the gram that leads a kept suffix.
 MIN_WORDS = 50
@@ -123,7 +123,7 @@ def kept_suffixes(docs: DataFrame, min_words: int, gram: int) -> DataFrame:
                     ["doc_id", "n", "d1", "d2", "grams"])
                 yield rows.filter(pa.array(n >= min_words))
 
-    return docs.mapInArrow(run, "doc_id long, n int, d1 long, d2 long, grams array<long>")
+    return docs.mapInArrow(tidy(run), "doc_id long, n int, d1 long, d2 long, grams array<long>")
 
 
 def _windows(h: np.ndarray, first: np.ndarray, wanted: list[np.ndarray], min_words: int, gram: int):
@@ -163,7 +163,7 @@ def extended(docs: DataFrame, shared: DataFrame, min_words: int, gram: int) -> D
                     [part.column(0), pa.ListArray.from_arrays(cuts, pa.array(at.astype(np.int32))),
                      pa.ListArray.from_arrays(cuts, pa.array(key.view(np.int64)))], ["doc_id", "starts", "windows"])
 
-    return rows.mapInArrow(run, "doc_id long, starts array<int>, windows array<long>")
+    return rows.mapInArrow(tidy(run), "doc_id long, starts array<int>, windows array<long>")
 
 
 def _shared(rows: DataFrame, key: str) -> DataFrame:
@@ -223,7 +223,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     whole = copies.select("doc_id", F.lit(0).alias("start_word"), F.col("n").alias("end_word"),
                           F.col("n").alias("n_words"), F.lit(True).alias("removed"))
-    return per.mapInArrow(join_up, "doc_id long, start_word int, end_word int, n_words int, "
+    return per.mapInArrow(tidy(join_up), "doc_id long, start_word int, end_word int, n_words int, "
                                    "removed boolean").unionByName(whole)
 
 
