@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from tests.conftest import SF_SMALL
 from transitlake.operators import quality as Q
 from transitlake.sources import schemas as S
 
@@ -53,3 +54,18 @@ def test_freshness(spark):
 def test_readable_reports_failure(spark, tmpdir_path):
     r = Q.readable(spark, "routes", f"{tmpdir_path}/missing").first()
     assert r["passed"] is False
+
+
+def test_freshness_of_every_table_and_of_empty_ones(spark):
+    from transitlake.plans import registry
+    from transitlake.plans.models import Models
+    from transitlake.sources.proxy import RawTables
+
+    raw = RawTables(spark, SF_SMALL)
+    job = registry.model_functions()["p9_freshness"]
+    got = {r["entity"]: r for r in job(Models(raw)).collect()}
+    assert set(got) == {"routes", "stops", "predictions", "vehicles", "alerts", "weather"}
+    assert got["routes"]["passed"] and got["stops"]["actual"] == "11.5"
+    raw.stops = raw.stops.limit(0)
+    empty = {r["entity"]: r for r in job(Models(raw)).collect()}["stops"]
+    assert empty["actual"] == "missing" and not empty["passed"]
