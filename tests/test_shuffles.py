@@ -65,3 +65,10 @@ def test_a_refresh_writes_the_periods_once(spark, tmpdir_path):
     assert set(glob.glob(f"{checkpoint_dir(spark).removeprefix('file:')}/**/rdd-*", recursive=True)) == kept
     assert not glob.glob(f"{tmpdir_path}/e1.new-*")
     assert table.rows().exceptAll(full.scheduled_vs_actual).isEmpty() and table.rows().count() == full.scheduled_vs_actual.count()
+
+
+def test_landed_documents_are_compressed(spark):
+    from transitlake.plans.catalog_sources import docs_roundtrip
+    rows = docs_roundtrip(spark, SF_SMALL, "predictions")
+    assert rows.inputFiles() and all(f.endswith(".gz") for f in rows.inputFiles())
+    assert rows.count() == RawTables(spark, SF_SMALL).predictions.count()

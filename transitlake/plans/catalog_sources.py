@@ -22,7 +22,8 @@ from transitlake.sources.proxy import RawTables
 
 def _land(df, spark, name: str) -> str:
     path = f"{checkpoint_dir(spark).rstrip('/')}/transitlake-docs/{name}-{uuid.uuid4().hex[:8]}"
-    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
+    # Compressed as a feed is landed: the names of all fields stand in every document.
+    df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path, compression="gzip")
     return path
 
 
