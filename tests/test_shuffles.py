@@ -72,3 +72,18 @@ def test_landed_documents_are_compressed(spark):
     rows = docs_roundtrip(spark, SF_SMALL, "predictions")
     assert rows.inputFiles() and all(f.endswith(".gz") for f in rows.inputFiles())
     assert rows.count() == RawTables(spark, SF_SMALL).predictions.count()
+
+
+def test_rides_lie_by_trip_and_route_for_the_legs(spark):
+    from transitlake.plans.catalog_pairs import MAX_WAIT, stop_pairs
+    from transitlake.plans.queries import trip_pairs as qp
+    m = Models(RawTables(spark, SF_SMALL))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        options = qp.pair_options(m, stop_pairs(m), feasible=True, max_wait=MAX_WAIT)
+        assert shuffles_by(options, "trip_id", "route_id", "direction_id") == 0
+        # Arrivals and departures become three events each only after they are dealt out by cell.
+        text = plan(options)
+        assert text.index("Generate explode") < text.index("REPARTITION_BY_COL")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
