@@ -97,3 +97,17 @@ def test_sample_of_very_many_rows_is_not_empty(frame):
 
     assert str(4000 * 2**64 // 5_000_000_000 - 2**63) in str(L.forest_sample(Many(), rows=4000))
     assert 100 < L.forest_sample(frame, rows=200).count() < 300
+
+
+def test_scores_are_those_of_the_models_own_transform(frame):
+    from transitlake.plans import forests
+    data = L.split(frame.withColumn("uncertainty", F.pmod(F.xxhash64("prediction_id"), F.lit(97)) / 7.0)
+                   .withColumn("target_is_late", F.pmod(F.xxhash64("prediction_id"), F.lit(3)).cast("int") % 2)).cache()
+    for estimator, scores in ((L.classification_models()["random_forest"], ["prediction", "probability_late"]),
+                              (L.regression_models(1)["random_forest"], ["prediction"])):
+        model, pred = L.fit_forest(data, estimator)
+        assert "features" not in pred.columns and "probability" not in pred.columns
+        want = L.late_probability(model.transform(data.filter("is_test"))).select("prediction_id", *scores)
+        assert want.exceptAll(pred.select("prediction_id", *scores)).count() == 0
+        assert pred.count() == want.count() > 50
+    assert max(t[0] for t in forests.trees(data.sparkSession, model.stages[-1])) > 2
