@@ -67,3 +67,14 @@ def test_other_files_are_refused(tmp_path, change):
     (tmp_path / "other.json").write_text(json.dumps(rules))
     with pytest.raises(ValueError):
         planes.WordEncoder(str(tmp_path / "other.json"))
+
+
+def test_uncut_pre_tokens_are_kept_once():
+    from transitlake.llm.bpe import worker
+    path = tokenizer("word_bpe_49k.json")
+    bpe = worker(path)
+    text = "kiver zebrax kiver <|x Stra\u00dfe42 \u6c34 <|x|> zebrax"
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False)
+    assert np.frombuffer(bpe.encode(text.encode()), "<u4").tolist() == want.ids
+    uncut = [w for w in ("kiver", "zebrax") if len(bpe.cut(w)) == 1]
+    assert uncut and all((w, True) not in bpe.fragments for w in uncut)

@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from transitlake.llm.cache import Memo
 
 #: Words, pre-tokens and fragments that a worker keeps (twice as many at most).
-WORDS, PRE_TOKENS, FRAGMENTS = 100_000, 80_000, 30_000
+WORDS, PRE_TOKENS, FRAGMENTS = 200_000, 80_000, 30_000
 _workers: dict[str, "ForcedBoundaryBPE"] = {}
 
 
@@ -114,7 +114,7 @@ class ForcedBoundaryBPE:
         self.token = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.added.items()}
         longest = sorted(self.added, key=len, reverse=True)
         # A word without any of their first characters holds no added token.
-        self.marks = tuple({t[0] for t in self.added})
+        self.marks = re.compile("[" + "".join(re.escape(c) for c in sorted({t[0] for t in self.added})) + "]") if longest else None
         self.literal = re.compile("|".join(map(re.escape, longest))) if longest else None
         self.simple = _simple_pattern(spec)
         self.letters = byte_letters()
@@ -137,8 +137,8 @@ class ForcedBoundaryBPE:
 
     def cut(self, pre_token: str) -> list[str]:
         """Fragments of a pre-token between certain cuts."""
-        n = len(pre_token)
-        at = [i + 1 for i in range(n - 2) if pre_token[i:i + 2] not in self.inner]
+        n, inner = len(pre_token), self.inner
+        at = [i + 1 for i in range(n - 2) if pre_token[i:i + 2] not in inner]
         if n > 1 and pre_token[n - 2:] not in self.last:
             at.append(n - 1)
         if not at:
@@ -197,6 +197,8 @@ class ForcedBoundaryBPE:
 
     def _pre_token(self, pre_token: str) -> tuple[int, ...]:
         pieces = self.cut(pre_token)
+        if len(pieces) == 1:                # kept as a pre-token: no second entry as a fragment
+            return self._merge((pre_token, True))
         out: tuple[int, ...] = ()
         for p in pieces[:-1]:
             out += self.fragments[p, False]
@@ -216,12 +218,12 @@ class ForcedBoundaryBPE:
 
     def _word(self, word: bytes) -> bytes:
         text, ids, at = word.decode(), [], 0
-        if self.literal and any(m in text for m in self.marks):
+        if self.literal and self.marks.search(text):
             for m in self.literal.finditer(text):
                 ids += self._plain(text[at:m.start()])
                 ids.append(self.added[m.group()])
                 at = m.end()
-        ids += self._plain(text[at:])
+        ids += self._plain(text[at:] if at else text)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: bytes) -> bytes:
