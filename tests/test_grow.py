@@ -2,11 +2,12 @@
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import functions as F
 
-from transitlake.plans import grow
+from transitlake.plans import forests, grow
 
 FEATURES = ["a", "b", "c"]
 
@@ -95,3 +96,42 @@ def test_labels_that_are_no_whole_numbers_and_a_single_value(rows):
     assert [(n[1], n[2]) for n in nodes(one)] == [(0, 5.0)] * 4 and not one.featureImportances.toArray().any()
     with pytest.raises(ValueError, match="training rows"):
         forest(rows.filter("id < 0"))
+
+
+def _numbers(n=4000, whole=True):
+    r = np.random.default_rng(3)
+    codes = np.stack([r.integers(0, 32, n), r.integers(0, 2, n), r.integers(0, 9, n), np.zeros(n, int)]).astype(np.uint8)
+    y = codes[0] * 9.0 + codes[2] * 40 + r.integers(-50, 50, n)
+    return codes, y if whole else y / 7, r.integers(1, 4, n).astype(np.uint8)
+
+
+def test_only_the_smaller_child_of_a_node_is_added_up(monkeypatch):
+    seen, tables = [], grow.tables
+
+    def counted(codes, node, *args):
+        seen.append(len(node))
+        return tables(codes, node, *args)
+
+    codes, y, w = _numbers()
+    monkeypatch.setattr(grow, "tables", counted)
+    whole = grow.grown(codes, y, w, 7, 32, 10, 0.0)
+    assert seen[0] == len(y) and len(seen) > 4 and all(n <= len(y) // 2 for n in seen[1:])
+    seen.clear()
+    monkeypatch.setattr(grow, "TABLE_BYTES", 0)             # no parents' bins are kept
+    assert grow.grown(codes, y, w, 7, 32, 10, 0.0).equals(whole)
+    assert max(seen[1:]) > len(y) // 2
+
+
+def test_sums_of_fractions_are_not_taken_from_one_another(monkeypatch):
+    codes, y, w = _numbers(whole=False)
+    monkeypatch.setattr(grow, "_from_parents", None)
+    assert len(grow.grown(codes, y, w, 7, 32, 10, 0.0)) > 40
+
+
+def test_a_grown_forest_is_scored_from_its_nodes(rows, monkeypatch):
+    f = forest(rows)
+    expected = {r["id"]: r["prediction"] for r in f.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows)).collect()}
+    monkeypatch.setattr(grow.GrownForest, "write", None)    # not saved again
+    monkeypatch.setattr(type(rows), "toPandas", None)       # nor collected row by row
+    found = {r["id"]: r["prediction"] for r in forests.scored(f, rows.select("id", *FEATURES), FEATURES).collect()}
+    assert found == expected
