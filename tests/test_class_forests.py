@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.linalg import Vectors
@@ -106,3 +107,33 @@ def test_leaves_that_vote_alike_are_one():
 def test_classes_are_two(rows):
     with pytest.raises(ValueError, match="0 and 1"):
         forest(rows.withColumn("y", F.col("y") * 2))
+
+
+def test_trees_dealt_a_few_at_a_time_are_the_same(rows, monkeypatch):
+    whole, dealt, real = leaves(forest(rows)), [], grow._dealt
+    monkeypatch.setattr(grow, "_dealt", lambda packed, trees, these, seed: dealt.append(these) or real(packed, trees, these, seed))
+    monkeypatch.setattr(grow, "DEAL_BYTES", 2 * 2000 * (9 + len(FEATURES)))
+    assert leaves(forest(rows)) == whole
+    assert [len(these) for these in dealt] == [2, 1]
+
+
+def test_dealt_rows_are_small_and_whole():
+    r = np.random.default_rng(1)
+    y, w = r.integers(-1800, 3600, 5000) / np.array([1.0, 7.0] * 2500), r.integers(1, 5, 5000).astype(np.uint8)
+    codes = r.integers(0, 24, (6, 5000)).astype(np.uint8)
+    data = grow._squeezed(y, w, codes)
+    for a, b in zip((y, w, codes), grow._opened(5000, pa.py_buffer(data), 6), strict=True):
+        assert np.array_equal(a, b) and a.dtype == b.dtype
+    assert len(grow._squeezed(np.rint(y), w, codes)) < 5000 * (8 + 1 + 6) / 2
+
+
+@pytest.mark.parametrize("many", [None, 2])
+def test_rows_laid_out_again_grow_the_same_tree(monkeypatch, many):
+    r = np.random.default_rng(4)
+    codes = np.stack([r.integers(0, k, 4000) for k in (32, 2, 9, 17)]).astype(np.uint8)
+    y, w = codes[0] * 9.0 + codes[2] * 40 + r.integers(-50, 50, 4000), r.integers(1, 4, 4000).astype(np.uint8)
+    trees = []
+    for levels in (1, 4, 99):
+        monkeypatch.setattr(grow, "ORDER_LEVELS", levels)
+        trees.append(grow.grown(codes, y, w, 9, 32, 10, 0.0, many, 1, 42))
+    assert trees[0].equals(trees[1]) and trees[0].equals(trees[2]) and len(trees[0]) > 40
